@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,7 +46,9 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first may find the job's end still on its way to the listeners
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(df.schema).parquet(path)
 
 
