@@ -36,6 +36,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in each batch that goes to Python than the default, for rows of whole texts; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """df written as a table in the shared folder and read back: whoever reads it needs nothing that came before.
 
@@ -49,7 +56,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     for _ in range(2):  # the first may find the job's end still on its way to the listeners
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table that cut() wrote, once nothing reads it any more."""
+    _remove(table.sparkSession, table.cut_path)
 
 
 def order_id(name: str = "doc_id") -> Column:

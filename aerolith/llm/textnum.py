@@ -95,6 +95,17 @@ def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return np.concatenate([data[a:b] for a, b in zip(starts, ends, strict=True)] or [np.zeros(0, np.uint8)]), bounds
 
 
+def code_points(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of texts in one buffer; then buffer and bounds, with a replacement for what isn't UTF-8."""
+    try:
+        text = buf.tobytes().decode()
+    except UnicodeDecodeError:
+        parts = [buf[a:b].tobytes().decode("utf-8", "replace").encode() for a, b in zip(bounds, bounds[1:], strict=False)]
+        buf, bounds = np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        text = buf.tobytes().decode()
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32), buf, bounds
+
+
 def words(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each word starts and ends, and the n + 1 bounds of the documents in the list of words."""
     full = bounds[1:] > bounds[:-1]
@@ -121,13 +132,20 @@ def sliding(x: np.ndarray, w: int, least: bool = True) -> np.ndarray:
     return f(out[:-rest], out[rest:]) if rest else out
 
 
-def winnow(h: np.ndarray, w: int) -> np.ndarray:
-    """Which values are the minimum of some w consecutive ones (all of several equal minima)."""
-    if len(h) < w:
-        return np.zeros(len(h), bool)
-    low = sliding(h, w)
-    pad = np.zeros(w - 1, low.dtype)
-    return (sliding(np.concatenate([pad, low, pad]), w, least=False) == h) & (h != NONE)
+#: Bits of a place in a buffer (16 GB); those above hold the start of a hash.
+PLACE = (1 << 34) - 1
+
+
+def winnow(h: np.ndarray, w: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows of w values each that begin at `starts` (ascending): the place of the last least value, without
+    repetition, and the first and the last of the windows that have it there."""
+    if not len(starts):
+        return starts, starts, starts
+    key = (h & ~U64(PLACE)) | (U64(PLACE) - np.arange(len(h), dtype=np.uint64))
+    at = PLACE - (sliding(key, w)[starts] & U64(PLACE)).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = np.concatenate([new[1:], [len(at)]]) - 1
+    return at[new], starts[new], starts[last]
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
