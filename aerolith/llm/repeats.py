@@ -1,10 +1,10 @@
 """Finding passages of at least `length` units (bytes or words) that start more than once in a corpus.
 
 Shared by the suffix-array and the FM-index operator. Neither could hold one index over all the text, so the text is
-dealt out by content: of each window of `length` units the `gram`-unit stretch with the least hash is its anchor
-(winnowing). Equal windows have equal anchors at equal offsets, so whatever can match a window lies around an equal
-anchor. Anchors that occur once are dropped before any text moves; around each of the others the window's reach (its
-context) goes to the shard of the anchor's hash, where an index compares contexts.
+dealt out by content: of each window of `length` units the `gram`-unit stretch with the least hash (the last of several) is its
+anchor (winnowing). Equal windows have equal anchors at equal offsets, so whatever equals a window lies around an equal
+anchor. Anchors that occur once are dropped before any text moves; of each of the others the windows whose anchor it is
+(its context) go to the shard of the anchor's hash, where an index compares contexts.
 
 An anchor that occurs more than `hot` times is dealt to several shards by document. Each finds the repeats among its
 own part; the windows that are first there are then compared across parts by a 128-bit fingerprint, whose minimum is
@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from aerolith.llm import textnum as tn
-from aerolith.llm.common import cut, order_id
+from aerolith.llm.common import bounded_batches, cut, drop, order_id
 
 #: Bytes of text handled at a time.
 AT_ONCE = 2 << 20
 OFFSET = (1 << 40) - 1
 
+NO_SPANS = "cast(array() as array<struct<start: bigint, end: bigint>>)"
 CONTEXT = "h long, salt int, hot boolean, doc_id long, pos long, off int, body binary"
 FOUND = "kind byte, doc_id long, start long, end long, f1 long, f2 long"
 
@@ -45,8 +46,8 @@ class Unit:
     length: int
     gram: int
     within: bool
-    hot: int = 4096
-    indexed: int = 16384
+    hot: int = 8192
+    indexed: int = 8192
 
     def units(self, buf: np.ndarray, bounds: np.ndarray):
         """Codes of the units, the documents' n + 1 bounds in them, and where each unit starts and ends in buf."""
@@ -58,6 +59,7 @@ class Unit:
 
 def with_owner(docs: DataFrame) -> DataFrame:
     """doc_id, th (the text's SHA-256), v (the text's number in its doc_id), owner (smallest doc_id with the text)."""
+    bounded_batches(docs.sparkSession)
     rows = keyed(docs).groupBy("doc_id", "th").agg(F.count("*").alias("rows"))
     owners = rows.groupBy("th").agg(F.min("doc_id").alias("owner"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("th")) - 1
@@ -65,8 +67,19 @@ def with_owner(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(order_id().alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("th"), *more)
+    text = F.col("text").cast("string")
+    return docs.select(order_id().alias("doc_id"), text.alias("text"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("th"), *more)
+
+
+def with_spans(docs: DataFrame, owners: DataFrame, found: DataFrame, carry: list[str]) -> DataFrame:
+    """row (the columns to carry but the text, as c0, c1, ...), text, copy (another document owns the text), spans."""
+    row = F.struct(F.lit(0).alias("any"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry) if c != "text"]).alias("row")
+    texts = keyed(docs, row).join(owners, ["doc_id", "th"]).join(spans_by_text(found), ["doc_id", "v"], "left")
+    return texts.select("row", "text", (F.col("doc_id") != F.col("owner")).alias("copy"), F.coalesce("spans", F.expr(NO_SPANS)).alias("spans"))
+
+
+def carried(carry: list[str]) -> list:
+    return [F.col("text") if c == "text" else F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)]
 
 
 def find(docs: DataFrame, owners: DataFrame, unit: Unit, solve: Callable) -> DataFrame:
@@ -77,15 +90,18 @@ def find(docs: DataFrame, owners: DataFrame, unit: Unit, solve: Callable) -> Dat
         for batch in _once(batches):
             yield from _anchors(batch, unit)
 
-    anchors = cut(texts.mapInArrow(anchored, "h long, doc_id long, pos long"), "anchors")
+    anchors = cut(texts.mapInArrow(anchored, "h long, doc_id long, pos long, reach int"), "anchors")
     counted = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     shared = counted.where("n > 1" if unit.within else "a < b").select("h", "n")
     wanted = (
         anchors.join(shared, "h")
         .groupBy("doc_id", F.shiftright("pos", 40).cast("int").alias("v"))
-        .agg(F.collect_list(F.struct((F.col("pos").bitwiseAND(OFFSET)).alias("at"), "h", "n")).alias("anchors"))
+        .agg(F.collect_list(F.struct((F.col("pos").bitwiseAND(OFFSET)).alias("at"), "h", "n", "reach")).alias("anchors"))
     )
 
+    wanted = cut(wanted, "wanted")
+    drop(anchors)
+
     def cut_out(batches):
         for batch in _once(batches):
             yield from _contexts(batch, unit)
@@ -94,7 +110,7 @@ def find(docs: DataFrame, owners: DataFrame, unit: Unit, solve: Callable) -> Dat
         for part in _shards(batches, unit.indexed):
             yield from solve(part, unit)
 
-    contexts = texts.join(cut(wanted, "wanted"), ["doc_id", "v"]).mapInArrow(cut_out, CONTEXT)
+    contexts = texts.join(wanted, ["doc_id", "v"]).mapInArrow(cut_out, CONTEXT)
     found = cut(contexts.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(solved, FOUND), "found")
     # windows of hot anchors, each the first of its part: all but the first of all go
     split = found.where("kind = 1").select("f1", "f2", "doc_id", "start", "end")
@@ -135,15 +151,11 @@ def _anchors(batch, unit: Unit):
     for a, _, buf, bounds in _packed(batch):
         codes, by_doc, _, _ = unit.units(buf, bounds)
         h = tn.Rolling(codes).windows(unit.gram)
-        sizes = np.diff(by_doc)
-        # a stretch over the end of a document is none
-        over = tn.spread(np.maximum(by_doc[1:] - unit.gram + 1, by_doc[:-1]), np.minimum(sizes, unit.gram - 1))
-        h[over[over < len(h)]] = tn.NONE
-        at = np.flatnonzero(tn.winnow(h, unit.length - unit.gram + 1))
+        windows = tn.spread(by_doc[:-1], np.maximum(np.diff(by_doc) - unit.length + 1, 0))
+        at, first, last = tn.winnow(h, unit.length - unit.gram + 1, windows)
         of = np.searchsorted(by_doc, at, "right") - 1
-        keep = sizes[of] >= unit.length
-        at, of = at[keep], of[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(doc[a + of]), pa.array((v[a + of] << 40) | (at - by_doc[of]))], ["h", "doc_id", "pos"])
+        reach = ((at - first) << 16 | (last - first)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(doc[a + of]), pa.array((v[a + of] << 40) | (at - by_doc[of])), pa.array(reach)], ["h", "doc_id", "pos", "reach"])
 
 
 def _contexts(batch, unit: Unit):
@@ -151,17 +163,16 @@ def _contexts(batch, unit: Unit):
     lists = batch.column("anchors")
     heads = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
     fields = lists.values
-    at_all, h_all, n_all = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    at_all, h_all, n_all, reach_all = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(4))
     for a, b, buf, bounds in _packed(batch):
         _, by_doc, starts, ends = unit.units(buf, bounds) if unit.words else (None, bounds, None, None)
-        sizes = np.diff(by_doc)
         of = np.repeat(np.arange(b - a), np.diff(heads[a : b + 1]))
         for i in range(0, len(of), 1 << 15):
             part = of[i : i + (1 << 15)]
             pick = slice(heads[a] + i, heads[a] + i + len(part))
-            at, h, n = at_all[pick], h_all[pick], n_all[pick]
-            lo = np.maximum(at + unit.gram - unit.length, 0)
-            hi = np.minimum(at + unit.length, sizes[part])
+            at, h, n, reach = at_all[pick], h_all[pick], n_all[pick], reach_all[pick].astype(np.int64)
+            lo = at - (reach >> 16)
+            hi = lo + (reach & 0xFFFF) + unit.length
             x, y = by_doc[part] + lo, by_doc[part] + hi
             if unit.words:
                 x, y = starts[x], ends[y - 1]
@@ -203,14 +214,14 @@ def result(kind: int, doc, start, end, f1=None, f2=None):
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *(pa.array(np.asarray(x, np.int64)) for x in (doc, start, end, f1, f2))], ["kind", "doc_id", "start", "end", "f1", "f2"])
 
 
-def merged(spans, size: int) -> list[tuple[int, int]]:
-    """The maximal runs that spans cover, in order."""
-    out: list[tuple[int, int]] = []
-    for x, y in sorted(spans):
-        x, y = max(x, 0), min(y, size)
-        if out and x <= out[-1][1]:
-            if y > out[-1][1]:
-                out[-1] = (out[-1][0], y)
-        elif x < y:
-            out.append((x, y))
-    return out
+def covered(spans, a: int, b: int, bounds: np.ndarray, copy: np.ndarray, length: int) -> np.ndarray:
+    """Which units of rows [a, b) of a batch are in its column of spans; copies lose all, if they have a window."""
+    heads = np.frombuffer(spans.buffers()[1], np.int32)[spans.offset + a : spans.offset + b + 1]
+    start, end = (spans.values.field(i).to_numpy(zero_copy_only=False)[heads[0] : heads[-1]] for i in range(2))
+    of = np.repeat(bounds[:-1], np.diff(heads))
+    size = np.diff(bounds)
+    whole = np.flatnonzero(copy[a:b] & (size >= length))
+    n = int(bounds[-1]) + 1
+    begun = np.bincount(np.concatenate([of + start, bounds[:-1][whole]]), minlength=n)
+    ended = np.bincount(np.concatenate([of + end, bounds[1:][whole]]), minlength=n)
+    return np.cumsum(begun - ended)[:-1] > 0

@@ -120,64 +120,51 @@ def _first_windows(own, a, buf, middle, doc, pos, unit):
         yield R.result(1, doc[part], pos[part] - a, pos[part] - a + unit.length, f1, f2)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whole: bool = False, **sizes: int) -> DataFrame:
-    """docs with all its columns, then bytes_kept (binary), bytes_in, bytes_removed, spans_removed and spans (start, end in bytes).
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whole: bool = False, carry: list[str] | None = None, **sizes: int) -> DataFrame:
+    """docs with all its columns (or those to carry), then bytes_kept (binary), bytes_in, bytes_removed, spans_removed and spans (start, end in bytes).
 
     Every byte that lies in a string of `length` bytes which also starts earlier (in a smaller doc_id, or earlier in the
     same document) is removed; with `whole`, only characters all of whose bytes do, so that what is left is UTF-8.
     """
     unit = R.Unit(words=False, length=length, gram=gram, within=True, **sizes)
     owners = R.with_owner(docs)
-    spans = R.spans_by_text(R.find(docs, owners, unit, solve))
-    names = docs.columns
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row")
-    texts = R.keyed(docs, row).join(owners, ["doc_id", "th"]).join(spans, ["doc_id", "v"], "left")
-    texts = texts.select("row", "text", (F.col("doc_id") != F.col("owner")).alias("copy"), "spans")
+    carry = docs.columns if carry is None else carry
+    texts = R.with_spans(docs, owners, R.find(docs, owners, unit, solve), carry)
+    with_text = ["text"] if "text" in carry else []
     added = [T.StructField("bytes_kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("bytes_in", "bytes_removed", "spans_removed"))]
     added.append(T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))))
-    schema = T.StructType([texts.schema["row"], *added])
+    schema = T.StructType([texts.schema["row"], *[texts.schema[c] for c in with_text], *added])
 
     def apply(batches):
         for batch in batches:
-            yield _removed(batch, length, whole)
+            yield from _removed(batch, length, whole, with_text)
 
     done = texts.mapInArrow(apply, schema)
-    return done.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)], *[f.name for f in added])
-
-
-def _removed(batch, length: int, whole: bool):
-    data, starts, ends = tn.utf8(batch.column("text"))
-    copy = batch.column("copy").to_pylist()
-    kept, removed, n_spans, spans = [], [], [], []
-    for i, found in enumerate(batch.column("spans").to_pylist()):
-        text, size = data[starts[i] : ends[i]], int(ends[i] - starts[i])
-        if copy[i]:
-            gone = [(0, size)] if size >= length else []
-        else:
-            gone = R.merged([(s["start"], s["end"]) for s in found], size) if found else []
-        if whole:
-            gone = [z for x, y in gone if (z := (_start(text, x, 1), _start(text, y, -1)))[0] < z[1]]
-        rest, at = [], 0
-        for x, y in gone:
-            rest.append(text[at:x].tobytes())
-            at = y
-        kept.append(b"".join([*rest, text[at:].tobytes()]))
-        removed.append(sum(y - x for x, y in gone))
-        n_spans.append(len(gone))
-        spans.append([{"start": x, "end": y} for x, y in gone])
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.binary()), pa.array(ends - starts), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(spans, kind)], ["row", "bytes_kept", "bytes_in", "bytes_removed", "spans_removed", "spans"])
+    return done.select(*R.carried(carry), *[f.name for f in added])
 
 
-def _start(text: np.ndarray, at: int, step: int) -> int:
-    """The nearest start of a character, from `at` on in steps of `step`."""
-    while 0 < at < len(text) and text[at] & 0xC0 == 0x80:
-        at += step
-    return at
+def _removed(batch, length: int, whole: bool, with_text: list[str]):
+    copy = batch.column("copy").to_numpy(zero_copy_only=False).astype(bool)
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for a, b, buf, bounds in R._packed(batch):
+        gone = R.covered(batch.column("spans"), a, b, bounds, copy, length)
+        if whole and len(buf):
+            char = np.cumsum((buf & 0xC0) != 0x80) - 1
+            gone = (np.bincount(char, ~gone) == 0)[char]
+        edge = np.zeros(len(buf) + 1, bool)
+        edge[bounds] = True
+        before, after = np.concatenate([[False], gone]) & ~edge, np.concatenate([gone, [False]]) & ~edge
+        first, last = np.flatnonzero(gone & ~before[:-1]), np.flatnonzero(gone & ~after[1:]) + 1
+        n_first, n_kept = np.searchsorted(first, bounds), np.concatenate([[0], np.cumsum(~gone)])[bounds]
+        kept = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(n_kept.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf[~gone]))])
+        base = np.repeat(bounds[:-1], np.diff(n_first))
+        spans = pa.ListArray.from_arrays(pa.array(n_first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(first - base), pa.array(last - base)], ["start", "end"])).cast(kind)
+        size = np.diff(bounds)
+        yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in ["row", *with_text]] + [kept, pa.array(size), pa.array(size - np.diff(n_kept)), pa.array(np.diff(n_first)), spans], ["row", *with_text, "bytes_kept", "bytes_in", "bytes_removed", "spans_removed", "spans"])
 
 
 def query(docs: DataFrame, **sizes: int) -> DataFrame:
-    out = dedup(docs.select("doc_id", "text"), **sizes)
+    out = dedup(docs, carry=["doc_id"], **sizes)
     return out.select("doc_id", F.col("bytes_in").alias("n_bytes"), F.col("bytes_removed").alias("n_removed"), F.col("spans_removed").alias("n_spans"), F.sha2("bytes_kept", 256).alias("kept_sha256"))
 
 
