@@ -63,17 +63,16 @@ class FMIndex:
     def __init__(self, text: np.ndarray, n_symbols: int, most: int):
         n = self.n = len(text)
         self.most = most
-        rank, ranks, k = text.astype(np.int64), [], 1
+        rank, ranks, k = text.astype(np.int32), [], 1
         while True:
             ranks.append(rank)
             if k > most:
                 break
-            after = np.zeros(n, np.int64)
-            after[:-k] = rank[k:] + 1
-            key = rank * (max(n, n_symbols) + 2) + after
+            key = rank.astype(np.int64) * (max(n, n_symbols) + 2)
+            key[:-k] += rank[k:] + 1
             order = np.argsort(key)
             key = key[order]
-            new = np.empty(n, np.int64)
+            new = np.empty(n, np.int32)
             new[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
             rank, k = new, k * 2
         self.sa = np.argsort(rank, kind="stable")
@@ -202,43 +201,33 @@ def solve(shard: pa.Table, unit: R.Unit):
             yield R.result(1, doc[w], base[w] + a, base[w] + a + length, rolling.spans(x, x + length), second.spans(x, x + length))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **sizes: int) -> DataFrame:
-    """docs with all its columns, then text_kept (words kept, joined by a space), words_in, words_removed.
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None, **sizes: int) -> DataFrame:
+    """docs with all its columns (or those to carry), then text_kept (words kept, joined by a space), words_in, words_removed.
 
     Removed is every word covered by a window of `length` consecutive words whose sequence also starts in a document
     with a smaller doc_id.
     """
     unit = R.Unit(words=True, length=length, gram=gram, within=False, **sizes)
     owners = R.with_owner(docs)
-    spans = R.spans_by_text(R.find(docs, owners, unit, solve))
-    names = docs.columns
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row")
-    texts = R.keyed(docs, row).join(owners, ["doc_id", "th"]).join(spans, ["doc_id", "v"], "left")
-    texts = texts.select("row", "text", (F.col("doc_id") != F.col("owner")).alias("copy"), "spans")
-    schema = T.StructType([texts.schema["row"], T.StructField("text_kept", T.BinaryType()), T.StructField("words_in", T.LongType()), T.StructField("words_removed", T.LongType())])
+    carry = docs.columns if carry is None else carry
+    texts = R.with_spans(docs, owners, R.find(docs, owners, unit, solve), carry)
+    with_text = ["text"] if "text" in carry else []
+    schema = T.StructType([texts.schema["row"], *[texts.schema[c] for c in with_text], T.StructField("text_kept", T.BinaryType()), T.StructField("words_in", T.LongType()), T.StructField("words_removed", T.LongType())])
 
     def apply(batches):
         for batch in batches:
-            yield from _removed(batch, length, unit)
+            yield from _removed(batch, length, with_text)
 
     done = texts.mapInArrow(apply, schema)
-    return done.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)], F.col("text_kept").cast("string").alias("text_kept"), "words_in", "words_removed")
+    return done.select(*R.carried(carry), F.col("text_kept").cast("string").alias("text_kept"), "words_in", "words_removed")
 
 
-def _removed(batch, length: int, unit: R.Unit):
+def _removed(batch, length: int, with_text: list[str]):
     copy = batch.column("copy").to_numpy(zero_copy_only=False).astype(bool)
-    lists = batch.column("spans")
     for a, b, buf, bounds in R._packed(batch):
         starts, ends, by_doc = tn.words(buf, bounds)
         sizes = np.diff(by_doc)
-        change = np.zeros(len(starts) + 1, np.int64)
-        for i, spans in enumerate(lists.slice(a, b - a).to_pylist()):
-            if copy[a + i]:
-                spans = [{"start": 0, "end": int(sizes[i])}] if sizes[i] >= length else None
-            for s in spans or ():
-                change[by_doc[i] + s["start"]] += 1
-                change[by_doc[i] + s["end"]] -= 1
-        kept = np.cumsum(change)[:-1] == 0
+        kept = ~R.covered(batch.column("spans"), a, b, by_doc, copy, length)
         n_kept = np.concatenate([[0], np.cumsum(kept)])[by_doc]
         own = np.flatnonzero(kept)
         # the byte after each kept word but a document's last becomes the space
@@ -249,9 +238,9 @@ def _removed(batch, length: int, unit: R.Unit):
         out = spaced[tn.spread(x, y - x)]
         offsets = np.concatenate([[0], np.cumsum(y - x)])[n_kept].astype(np.int32)
         text = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
-        yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), text, pa.array(sizes), pa.array(sizes - np.diff(n_kept))], ["row", "text_kept", "words_in", "words_removed"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in ["row", *with_text]] + [text, pa.array(sizes), pa.array(sizes - np.diff(n_kept))], ["row", *with_text, "text_kept", "words_in", "words_removed"])
 
 
 def query(docs: DataFrame, **sizes: int) -> DataFrame:
-    out = dedup(docs.select("doc_id", "text"), **sizes)
+    out = dedup(docs, carry=["doc_id"], **sizes)
     return out.select("doc_id", F.col("words_in").alias("n_words"), F.col("words_removed").alias("n_removed"), F.sha2("text_kept", 256).alias("kept_sha256"))
