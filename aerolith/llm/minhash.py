@@ -9,8 +9,9 @@ Documents with equal shingle sets form one class. The sketches of classes are cu
 are candidates. At similarity 0.75, 32 bands of 4 coordinates all differ with probability 5e-6. A band's classes are not
 paired off: in each of some rounds they are compared with one class of theirs (the hub), links are confirmed on the
 full shingle sets, and components contracted, so most of a large group is one component after a round or two. What
-is then left in bands of several components is compared across components in blocks, by sketch first (a pair whose
-sketches agree by five standard deviations less than 0.75 is passed over), then by sets.
+is then left in bands of several components is compared across components in blocks: by sketch first (a pair whose
+sketches agree by five standard deviations less than 0.75 is passed over), then by sets, the likeliest first, until a
+class is linked with a component. A pair that shares several bands is compared in the first.
 
 A null text, or one without words, has no shingles and no links. Rows that repeat a doc_id are each a row of the
 result; a null doc_id sorts last and is kept only if its component has no other id. Other columns are not read.
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm import textnum as tn
-from aerolith.llm.common import cut, order_id, original_id
+from aerolith.llm.common import bounded_batches, cut, order_id, original_id
 
 WORDS, T, BAND, PERCENT, AT_ONCE = 5, 128, 4, 75, 2 << 20
 #: Sketches of a pair at the threshold agree in fewer coordinates than this once in three million times.
 AGREE = int(T * (PERCENT / 100 - 5 * (0.75 * 0.25 / T) ** 0.5))
-HUB_ROUNDS, BLOCK = 4, 4096
+HUB_ROUNDS, BLOCK = 2, 4096
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -94,7 +95,7 @@ def _sketched(batches):
 
 
 def _banded(batches):
-    """A row for each band of each sketch: the band's hash, the class."""
+    """A row for each band of each sketch: the band's hash, its number, the class."""
     for batch in batches:
         data, starts, ends = tn.utf8(batch.column("sketch"))
         buf, _ = tn.joined(data, starts, ends)
@@ -103,7 +104,8 @@ def _banded(batches):
         for j in range(BAND):
             key = tn.mix(key * tn.U64(0x9E3779B97F4A7C15) + rows[:, :, j])
         cls = np.repeat(batch.column("cls").to_numpy(), T // BAND)
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(cls)], ["key", "cls"])
+        band = np.tile(np.arange(T // BAND, dtype=np.int16), batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(cls)], ["key", "band", "cls"])
 
 
 def _with_sets(batches):
@@ -120,23 +122,26 @@ def _with_sets(batches):
 
 def _values(column) -> tuple[np.ndarray, np.ndarray]:
     heads = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return heads, column.values.to_numpy(zero_copy_only=False)
+    return heads, column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets (sorted, as unsigned numbers) are at the threshold or over it."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < PERCENT * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
 def _confirmed(batches):
-    """The pairs that are similar enough, by their full sets (which are sorted as unsigned numbers)."""
+    """The pairs that are similar enough, by their full sets."""
     for batch in batches:
         (ha, va), (hb, vb) = _values(batch.column("sa")), _values(batch.column("sb"))
-        ok = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            x, y = va[ha[i] : ha[i + 1]], vb[hb[i] : hb[i + 1]]
-            if len(x) > len(y):
-                x, y = y, x
-            x, y = x.view(np.uint64), y.view(np.uint64)
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            ok[i] = 100 * both >= PERCENT * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
+        ok = pa.array([similar(va[ha[i] : ha[i + 1]], vb[hb[i] : hb[i + 1]]) for i in range(batch.num_rows)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -180,18 +185,34 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _across(batches):
-    """Pairs in blocks of a band's classes that are of different components and whose sketches agree enough."""
+    """Links between components among the classes of a band (or a part of those that ask), one for each pair of components."""
 
     def pairs(block):
-        t = pa.Table.from_batches(block)
-        cls, comp = t.column("cls").to_numpy(), t.column("comp").to_numpy()
+        t = pa.Table.from_batches(block).combine_chunks()
+        cls, comp, band = (t.column(c).to_numpy() for c in ("cls", "comp", "band"))
         asks = t.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         rows = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint32).reshape(-1, T)
+        heads, values = _values(t.column("shingles").chunk(0))
+        own = {int(c): int(c) for c in np.unique(comp)}
+
+        def find(c: int) -> int:
+            while own[c] != c:
+                own[c] = c = own[own[c]]
+            return c
+
+        found = []
         for i in np.flatnonzero(asks):
-            near = ((rows == rows[i]).sum(axis=1) >= AGREE) & (comp != comp[i])
-            other = cls[near]
-            if len(other):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, cls[i])), pa.array(np.maximum(other, cls[i]))], ["a", "b"])
+            equal = rows == rows[i]
+            agree = equal.sum(axis=1)
+            near = np.flatnonzero((agree >= AGREE) & (comp != comp[i]))
+            near = near[equal[near].reshape(-1, T // BAND, BAND).all(axis=2).argmax(axis=1) == band[i]]
+            for j in near[np.argsort(-agree[near], kind="stable")]:
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x != y and similar(values[heads[i] : heads[i + 1]], values[heads[j] : heads[j + 1]]):
+                    own[max(x, y)] = min(x, y)
+                    found.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     held, last = [], None
     for batch in batches:
@@ -211,10 +232,11 @@ def _across(batches):
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n, cls of every row of docs; labels: node, comp of the classes that have a candidate)."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(order_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(texts.mapInArrow(_sketched, "doc_id long, n long, cls long, sketch binary"), "sketches")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
-    banded = classes.select("cls", "sketch").mapInArrow(_banded, "key long, cls long")
+    banded = classes.select("cls", "sketch").mapInArrow(_banded, "key long, band short, cls long")
     full = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
     members = cut(banded.join(full, "key"), "members")
     wanted = cut(members.select("cls").distinct().join(classes, "cls"), "wanted")
@@ -231,16 +253,15 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not links.take(1):
             break
         labels = components(labels, links)
-    placed = members.join(labels, members.cls == labels.node).select("key", "cls", "comp")
+    placed = members.join(labels, members.cls == labels.node).select("key", "band", "cls", "comp")
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     split = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
     split = split.select("key", F.col("most.comp").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("parts"))
-    left = placed.join(split, "key").join(wanted.select("cls", "sketch"), "cls")
+    left = placed.join(split, "key").join(wanted.select("cls", "sketch"), "cls").join(sets, "cls")
     asks = F.col("comp") != F.col("main")
-    parts = left.select("key", "cls", "comp", "sketch", asks.alias("asking"), F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    parts = parts.select("key", "part", "cls", "comp", "sketch", (F.col("asking") & (F.col("own") == F.col("part"))).alias("asks"))
-    pairs = parts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_across, "a long, b long").distinct()
-    links = cut(_links(pairs, sets), "links")
+    parts = left.select("key", "band", "cls", "comp", "sketch", "shingles", asks.alias("asking"), F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    parts = parts.select("key", "part", "band", "cls", "comp", "sketch", "shingles", (F.col("asking") & (F.col("own") == F.col("part"))).alias("asks"))
+    links = cut(parts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_across, "a long, b long").distinct(), "links")
     if links.take(1):
         labels = components(labels, links)
     return rows.select("doc_id", "n", "cls"), labels
