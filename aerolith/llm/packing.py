@@ -23,51 +23,33 @@ from pyspark.sql import functions as F
 from aerolith.llm import textnum as tn
 from aerolith.llm.common import bounded_batches
 
-SIZE, END, BLOCK, AT_ONCE, CACHED = 4096, 2, 50_000, 1 << 20, 150_000
+SIZE, END, BLOCK, AT_ONCE = 4096, 2, 50_000, 2 << 20
 VOCABULARY = "word_bpe_49k.json"
 
 
-class Tokens:
-    """Token ids of words; this vocabulary drops white space, so that words can be cut apart."""
-
-    def __init__(self, vocabulary: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(vocabulary)
-        self.model.encode_special_tokens = True
-        self.known: dict[int, np.ndarray] = {}
-
-    def of(self, codes: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > CACHED:
-            self.known = {}
-        keys = codes.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            for i, found in zip(new, self.model.encode_batch_fast([words[i].decode("utf-8", "replace") for i in new], add_special_tokens=False), strict=True):
-                self.known[keys[i]] = np.array(found.ids, np.uint32)
-        found = [self.known[k] for k in keys]
-        return np.array([len(x) for x in found], np.int64), np.concatenate(found) if found else np.zeros(0, np.uint32)
-
-
 @functools.cache
-def _tokens(vocabulary: str) -> Tokens:
-    return Tokens(vocabulary)
+def _cache(vocabulary: str) -> tn.WordCache:
+    """This vocabulary drops white space, so that words can be cut apart."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(vocabulary)
+    model.encode_special_tokens = True
+    return tn.WordCache(lambda words: [x.ids for x in model.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)])
 
 
 def tokenised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocabulary: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For some texts at a time: the first, n + 1 bounds, and the ids of all, each text's with the end token."""
-    model = _tokens(vocabulary)
+    cache = _cache(vocabulary)
     for a, b in tn.runs(np.maximum(ends - starts, 32), AT_ONCE):
         buf, bounds = tn.joined(data, starts[a:b], ends[a:b])
         x, y, by_doc = tn.words(buf, bounds)
         codes = tn.Rolling(tn.BYTE_CODE[buf]).spans(x, y)
-        _, index, inverse = np.unique(codes, return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        counts, flat = model.of(codes[index], [raw[x[i] : y[i]] for i in index])
-        at = np.concatenate([[0], np.cumsum(counts)])
-        size = counts[inverse]
-        ids = flat[tn.spread(at[inverse], size)]
+        distinct, index, inverse = np.unique(codes, return_index=True, return_inverse=True)
+        raw, x, y = buf.tobytes(), x[index].tolist(), y[index].tolist()
+        at, n, known = cache.of(distinct, lambda i: raw[x[i] : y[i]])
+        size = n[inverse]
+        ids = known[tn.spread(at[inverse], size)]
         before = np.concatenate([[0], np.cumsum(size)])[by_doc]
         out = np.full(len(ids) + b - a, END, np.uint32)
         out[tn.spread(before[:-1] + np.arange(b - a), np.diff(before))] = ids

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -160,3 +161,44 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     out[heads] = starts
     out[heads[1:]] -= starts[:-1] + sizes[:-1] - 1
     return np.cumsum(out)
+
+
+class WordCache:
+    """Token ids of words by the words' codes, in arrays: a large sorted level, and a small one for the latest words.
+
+    encode: the ids of each of some words. Past `most` words it starts anew.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1_500_000, small: int = 1 << 18):
+        self.encode, self.most, self.small = encode, most, small
+        self._clear()
+
+    def _clear(self) -> None:
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.levels = np.zeros(0, np.uint32), [none, none]
+
+    def of(self, codes: np.ndarray, word: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where in the ids (the last value) each word's begin, and how many they are; codes ascend; word(i): the i-th."""
+        if len(self.levels[0][0]) > self.most:
+            self._clear()
+        start, size = np.full(len(codes), -1), np.zeros(len(codes), np.int64)
+        for known, starts, sizes in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                hit = known[at] == codes
+                start[hit], size[hit] = starts[at[hit]], sizes[at[hit]]
+        new = np.flatnonzero(start < 0)
+        if len(new):
+            found = self.encode([word(i) for i in new.tolist()])
+            size[new] = np.fromiter(map(len, found), np.int64, len(found))
+            start[new] = len(self.ids) + np.cumsum(size[new]) - size[new]
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size[new].sum()))])
+            self.levels[1] = self._merged(self.levels[1], (codes[new], start[new], size[new]))
+            if len(self.levels[1][0]) > self.small:
+                self.levels = [self._merged(*self.levels), tuple(x[:0] for x in self.levels[1])]
+        return start, size, self.ids
+
+    @staticmethod
+    def _merged(a, b):
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
