@@ -92,7 +92,8 @@ def find(docs: DataFrame, owners: DataFrame, unit: Unit, solve: Callable) -> Dat
 
     anchors = cut(texts.mapInArrow(anchored, "h long, doc_id long, pos long, reach int"), "anchors")
     counted = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    shared = counted.where("n > 1" if unit.within else "a < b").select("h", "n")
+    # a table of its own, so that the join below is one of two plain shuffles, whose hot parts Spark can split
+    shared = cut(counted.where("n > 1" if unit.within else "a < b").select("h", "n"), "shared")
     wanted = (
         anchors.join(shared, "h")
         .groupBy("doc_id", F.shiftright("pos", 40).cast("int").alias("v"))
