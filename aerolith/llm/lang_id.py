@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from aerolith.llm import textnum as tn
 from aerolith.llm.common import bounded_batches
 
-PLACES, AT_ONCE, MOST_LANGUAGES = 300, 2 << 20, 1000
+PLACES, AT_ONCE, MOST_LANGUAGES = 300, 1 << 19, 1000
 GRAM = (1 << 40) - 1
 
 

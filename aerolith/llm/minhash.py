@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from aerolith.llm import textnum as tn
 from aerolith.llm.common import bounded_batches, cut, order_id, original_id
 
-WORDS, T, BAND, PERCENT, AT_ONCE = 5, 128, 4, 75, 2 << 20
+WORDS, T, BAND, PERCENT, AT_ONCE = 5, 128, 4, 75, 1 << 20
 #: Sketches of a pair at the threshold agree in fewer coordinates than this once in three million times.
 AGREE = int(T * (PERCENT / 100 - 5 * (0.75 * 0.25 / T) ** 0.5))
 HUB_ROUNDS, BLOCK = 2, 4096

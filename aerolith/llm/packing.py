@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from aerolith.llm import textnum as tn
 from aerolith.llm.common import bounded_batches
 
-SIZE, END, BLOCK, AT_ONCE = 4096, 2, 50_000, 2 << 20
+SIZE, END, BLOCK, AT_ONCE = 4096, 2, 50_000, 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 
 

@@ -30,7 +30,7 @@ from aerolith.llm import textnum as tn
 from aerolith.llm.common import bounded_batches, cut, drop, order_id
 
 #: Bytes of text handled at a time.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 OFFSET = (1 << 40) - 1
 
 NO_SPANS = "cast(array() as array<struct<start: bigint, end: bigint>>)"

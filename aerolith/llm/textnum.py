@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -85,6 +87,20 @@ def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         b = max(a + 1, int(np.searchsorted(total, total[a] + most, "right")) - 1)
         yield a, b
         a = b
+    release()
+
+
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library: it does so by itself, or can't
+        return lambda keep: None
+
+
+def release() -> None:
+    """Gives freed memory back to the system; Python workers live on between tasks, and share an executor's limit."""
+    _trim()(0)
 
 
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +185,7 @@ class WordCache:
     encode: the ids of each of some words. Past `most` words it starts anew.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1_500_000, small: int = 1 << 18):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 800_000, small: int = 1 << 18):
         self.encode, self.most, self.small = encode, most, small
         self._clear()
 
