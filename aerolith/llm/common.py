@@ -66,6 +66,18 @@ def drop(table: DataFrame) -> None:
     _remove(table.sparkSession, table.cut_path)
 
 
+#: The columns of documents; a stage sets others aside by place, so that their names can be any.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in DOCUMENT else f"__c{i}") for i, c in enumerate(docs.columns)])
+
+
+def back(rows: DataFrame, names: list[str], *more: str) -> DataFrame:
+    return rows.select(*[F.col(c if c in DOCUMENT else f"__c{i}").alias(c) for i, c in enumerate(names)], *more)
+
+
 def order_id(name: str = "doc_id") -> Column:
     """An id to sort and join by: null ids sort last."""
     return F.coalesce(F.col(name).cast("long"), F.lit(LAST_ID))

@@ -4,8 +4,8 @@ A public vocabulary with byte fallback cuts each word into pieces. Of each docum
 tokens that are bytes, and the entropy of its tokens. Text that the vocabulary fits badly (encoded data, wrong encodings,
 noise) has few characters per token and many bytes; repetition has little entropy, random strings have much. What is
 usual depends on the language (the script, where the language is null) and, for entropy, on the length, so
-bands are taken from the corpus: for each language and each doubling of the token count the quartiles over all documents,
-widened by WIDE interquartile ranges (at least by SLACK of the quartile). A document outside a band is rejected; groups
+bands are taken from the corpus: for each language (for entropy, and each doubling of the token count) the quartiles over
+all documents, widened by WIDE interquartile ranges (at least by SLACK of the quartile, and more for texts of few tokens, whose measures vary). A document outside a band is rejected; groups
 of under LEAST documents reject none. Words are cut apart from each other; white space makes no token.
 
 A null text has no words and is base_failed. Rows that repeat a doc_id are judged each by its text. Other columns but
@@ -25,7 +25,7 @@ from aerolith.llm import textnum as tn
 from aerolith.llm.common import bounded_batches, cut
 
 AT_ONCE, CACHED = 1 << 20, 150_000
-WIDE, SLACK, LEAST = 5.0, 0.25, 50
+WIDE, SLACK, FEW, LEAST = 5.0, 0.25, 8.0, 50
 VOCABULARY = "piece_bpe_32k.model"
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -166,21 +166,23 @@ def judged(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     rows = cut(measured(docs.select("doc_id", "text", lang.alias("lang")), vocabulary), "fertility")
     group = F.coalesce(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("script:"), "script"))
     rows = rows.withColumn("group", group).withColumn("size", F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int"))
-    quartiles = [F.percentile_approx(c, [0.25, 0.75], 10000).alias(c) for c in MEASURES]
-    bands = rows.groupBy("group", "size").agg(F.count("*").alias("n"), *quartiles)
+    quartiles = {c: F.percentile_approx(c, [0.25, 0.75], 10000).alias(f"{c}_q") for c in MEASURES}
 
     def edge(c: str, i: int):
-        low, high = F.col(c)[0], F.col(c)[1]
-        room = F.greatest(F.lit(WIDE) * (high - low), F.lit(SLACK) * high)
-        return (low - room if i == 0 else high + room).alias(f"{c}_{'low' if i == 0 else 'high'}")
-
-    bands = bands.select("group", "size", "n", *[edge(c, i) for c in MEASURES for i in (0, 1)])
-    inside = F.lit(True)
-    for c in MEASURES:
-        inside = inside & F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high") + F.lit(1e-9 if c != "byte_share" else 0.05))
+        low, high = F.col(f"{c}_q")[0], F.col(f"{c}_q")[1]
+        room = F.greatest(F.lit(WIDE) * (high - low), F.lit(SLACK) * high) * (1 + FEW / F.sqrt(F.greatest("n_tokens", F.lit(1))))
+        return low - room if i == 0 else high + room
+
+    out, inside = rows, F.lit(True)
+    for keys, n, names in ((["group"], "__n", MEASURES[:2]), (["group", "size"], "__m", MEASURES[2:])):
+        bands = rows.groupBy(*keys).agg(F.count("*").alias(n), *[quartiles[c] for c in names])
+        out = out.join(bands, keys)
+        for c in names:
+            top = edge(c, 1) + F.lit(0.05 if c == "byte_share" else 1e-9)
+            inside = inside & (F.col(c).between(edge(c, 0), top) | (F.col(n) < LEAST))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = rows.join(bands, ["group", "size"]).withColumn("base_failed", failed)
-    return out.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & (inside | (F.col("n") < LEAST))).alias("kept"), "n_tokens", *MEASURES)
+    out = out.withColumn("base_failed", failed)
+    return out.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "n_tokens", *MEASURES)
 
 
 def query(docs: DataFrame) -> DataFrame:

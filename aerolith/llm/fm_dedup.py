@@ -194,6 +194,12 @@ def solve(shard: pa.Table, unit: R.Unit):
     if kept:
         who, at = np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept])
         who, at = who[hot[who]], at[hot[who]]
+        # the same document's other contexts like a streamed one ask at their own places
+        again = np.flatnonzero(hot & ~later & (lead != np.arange(m)))
+        order = np.argsort(who, kind="stable")
+        x, y = (np.searchsorted(who[order], lead[again], side) for side in ("left", "right"))
+        at = np.concatenate([at, at[order][tn.spread(x, y - x)]])
+        who = np.concatenate([who, np.repeat(again, y - x)])
         second = tn.Rolling(tn.mix(codes) | tn.U64(1))
         for i in range(0, len(who), 1 << 15):
             w, a = who[i : i + (1 << 15)], at[i : i + (1 << 15)]

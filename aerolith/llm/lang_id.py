@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from aerolith.llm import textnum as tn
-from aerolith.llm.common import bounded_batches
+from aerolith.llm.common import apart, back, bounded_batches
 
 PLACES, AT_ONCE, MOST_LANGUAGES = 300, 1 << 19, 1000
 GRAM = (1 << 40) - 1
@@ -164,5 +164,4 @@ def query(docs: DataFrame) -> DataFrame:
 def stage(docs: DataFrame) -> DataFrame:
     """The documents but those without a language (null texts, texts without a letter)."""
     profiles = train(docs.where(F.col("lang").isNotNull() & ~held_out()))
-    named = docs.select([F.col(f"`{c}`") for c in docs.columns])
-    return predict(named, profiles).where("lang_pred <> 'und'").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return back(predict(apart(docs), profiles).where("lang_pred <> 'und'"), docs.columns)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from aerolith.llm.common import WORD, cut
+from aerolith.llm.common import WORD, apart, back, cut
 
 EPOCHS, WEIGHTS, BUCKET = 3, 3, 3
 #: The slope k of each weight's rate, from weight 1 on.
@@ -88,12 +88,12 @@ def query(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """A row for each copy of a document that the mix takes, all columns of docs, then __words (of the copy) and __position; sorted by position."""
-    rows = plan(docs).where("__taken > 0").withColumns({"target": F.col("__target"), "weight": F.col("__weight")})
+    rows = plan(apart(docs)).where("__taken > 0").withColumns({"target": F.col("__target"), "weight": F.col("__weight")})
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("__taken") / F.col("__size")) - 1)).alias("__copy")
     rows = rows.select("*", copies)
     words = F.least("__size", F.col("__taken") - F.col("__copy") * F.col("__size"))
     rows = rows.withColumn("__words", words).withColumn("__position", position(F.col("__copy") * F.col("__source_size") + F.col("__before")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__size", "__words", "__position").orderBy("__position", "doc_id")
+    return back(rows.orderBy("__position", "doc_id"), docs.columns, "__size", "__words", "__position")
 
 
 def stage(docs: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from aerolith.llm import repeats as R
 from aerolith.llm import textnum as tn
+from aerolith.llm.common import apart, back
 
 LENGTH, GRAM = 100, 32
 
@@ -170,7 +171,7 @@ def query(docs: DataFrame, **sizes: int) -> DataFrame:
 
 def stage(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents without repeated passages, n_chars anew; only whole characters go, and texts of which nothing is left."""
-    out = dedup(docs, length, whole=True).withColumn("text", F.when((F.col("bytes_removed") > 0) & F.col("text").isNotNull(), F.col("bytes_kept").cast("string")).otherwise(F.col("text")))
+    out = dedup(apart(docs), length, whole=True).withColumn("text", F.when((F.col("bytes_removed") > 0) & F.col("text").isNotNull(), F.col("bytes_kept").cast("string")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("bytes_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.where("bytes_removed = 0 or length(bytes_kept) > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return back(out.where("bytes_removed = 0 or length(bytes_kept) > 0"), docs.columns)
