@@ -26,6 +26,8 @@ from aerolith.llm.common import bounded_batches, cut
 
 AT_ONCE, CACHED = 1 << 20, 150_000
 WIDE, SLACK, FEW, LEAST = 5.0, 0.25, 8.0, 50
+#: Bands that are broadcast at most (some 100 bytes each).
+MOST_BANDS = 20_000
 VOCABULARY = "piece_bpe_32k.model"
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -176,7 +178,9 @@ def judged(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     out, inside = rows, F.lit(True)
     for keys, n, names in ((["group"], "__n", MEASURES[:2]), (["group", "size"], "__m", MEASURES[2:])):
         bands = rows.groupBy(*keys).agg(F.count("*").alias(n), *[quartiles[c] for c in names])
-        out = out.join(bands, keys)
+        bands = cut(bands, "bands")
+        # most documents are of one language: with few bands the rows need not meet by language
+        out = out.join(F.broadcast(bands) if bands.count() <= MOST_BANDS else bands, keys)
         for c in names:
             top = edge(c, 1) + F.lit(0.05 if c == "byte_share" else 1e-9)
             inside = inside & (F.col(c).between(edge(c, 0), top) | (F.col(n) < LEAST))
