@@ -64,9 +64,9 @@ def q_removed_counts(v):
     return selection.removed(v.cands, v.setting(), EXTENT, ["level_id"])
 
 
-@query("select chip_id, level_id, cand_id, ref_id, round(iou, 9) as iou from edges")
+@query("select chip_id, level_id, cand_id, ref_id, iou from edges")
 def q_iou_edges(v):
-    return edges(v).select(*GROUP, "cand_id", "ref_id", *r9("iou"))
+    return edges(v).select(*GROUP, "cand_id", "ref_id", "iou")
 
 
 @query()
@@ -76,9 +76,9 @@ def q_match_counts(v):
     return rows.withColumns(metrics.prf(F.col("matches"), F.col("predictions"), F.col("references")))
 
 
-@query("select chip_id, level_id, cand_id, ref_id, round(iou, 9) as iou from pairs")
+@query("select chip_id, level_id, cand_id, ref_id, iou from pairs")
 def q_match_single_star(v):
-    return matching.star_pairs(edges(v), GROUP, 0.25).select(*GROUP, "cand_id", "ref_id", *r9("iou"))
+    return matching.star_pairs(edges(v), GROUP, 0.25).select(*GROUP, "cand_id", "ref_id", "iou")
 
 
 @query("""select level, cast(sum(matches) as bigint) as matches, cast(sum(predictions) as bigint) as predictions, cast(sum("references") as bigint) as "references",
