@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sorts after every real id, and stands for a null one inside an operator.
 LAST_ID = 2**63 - 1
+#: Whether a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,16 +47,18 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
 def cut(df: DataFrame, label: str) -> DataFrame:
     """df written as a table in the shared folder and read back: whoever reads it needs nothing that came before.
 
-    The shuffle files of the job that wrote it are released at once (the cleaner works when the JVM collects
-    garbage), so that a query of several such steps holds the files of one step at a time.
+    The shuffle files of the job that wrote it are removed when it ends, so that a query of several such steps holds the
+    files of one step at a time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     atexit.register(_remove, spark, path)
-    for _ in range(2):  # the first may find the job's end still on its way to the listeners
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
