@@ -9,7 +9,7 @@ Documents with equal shingle sets form one class. The sketches of classes are cu
 are candidates. At similarity 0.75, 32 bands of 4 coordinates all differ with probability 5e-6. A band's classes are not
 paired off: in each of some rounds they are compared with one class of theirs (the hub), links are confirmed on the
 full shingle sets, and components contracted, so most of a large group is one component after a round or two. What
-is then left in bands of several components is compared across components in blocks: by sketch first (a pair whose
+is then left in bands of several components is compared across components, a block of BLOCK classes with another in each task: by sketch first (a pair whose
 sketches agree by five standard deviations less than 0.75 is passed over), then by sets, the likeliest first, until a
 class is linked with a component. A pair that shares several bands is compared in the first.
 
@@ -30,7 +30,7 @@ from aerolith.llm.common import bounded_batches, cut, order_id, original_id
 WORDS, T, BAND, PERCENT, AT_ONCE = 5, 128, 4, 75, 1 << 20
 #: Sketches of a pair at the threshold agree in fewer coordinates than this once in three million times.
 AGREE = int(T * (PERCENT / 100 - 5 * (0.75 * 0.25 / T) ** 0.5))
-HUB_ROUNDS, BLOCK = 2, 4096
+HUB_ROUNDS, BLOCK = 2, 2048
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -185,12 +185,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _across(batches):
-    """Links between components among the classes of a band (or a part of those that ask), one for each pair of components."""
+    """Links between a block of a band's classes that ask and a block of those it holds, one for each pair of components."""
 
     def pairs(block):
         t = pa.Table.from_batches(block).combine_chunks()
         cls, comp, band = (t.column(c).to_numpy() for c in ("cls", "comp", "band"))
-        asks = t.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        asks, here = (np.flatnonzero(t.column(c).to_numpy(zero_copy_only=False)) for c in ("asks", "held"))
         rows = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint32).reshape(-1, T)
         heads, values = _values(t.column("shingles").chunk(0))
         own = {int(c): int(c) for c in np.unique(comp)}
@@ -201,12 +201,13 @@ def _across(batches):
             return c
 
         found = []
-        for i in np.flatnonzero(asks):
-            equal = rows == rows[i]
+        those = rows[here]
+        for i in asks:
+            equal = those == rows[i]
             agree = equal.sum(axis=1)
-            near = np.flatnonzero((agree >= AGREE) & (comp != comp[i]))
+            near = np.flatnonzero((agree >= AGREE) & (comp[here] != comp[i]))
             near = near[equal[near].reshape(-1, T // BAND, BAND).all(axis=2).argmax(axis=1) == band[i]]
-            for j in near[np.argsort(-agree[near], kind="stable")]:
+            for j in here[near[np.argsort(-agree[near], kind="stable")]]:
                 x, y = find(int(comp[i])), find(int(comp[j]))
                 if x != y and similar(values[heads[i] : heads[i + 1]], values[heads[j] : heads[j + 1]]):
                     own[max(x, y)] = min(x, y)
@@ -256,11 +257,17 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = members.join(labels, members.cls == labels.node).select("key", "band", "cls", "comp")
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     split = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-    split = split.select("key", F.col("most.comp").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("parts"))
-    left = placed.join(split, "key").join(wanted.select("cls", "sketch"), "cls").join(sets, "cls")
-    asks = F.col("comp") != F.col("main")
-    parts = left.select("key", "band", "cls", "comp", "sketch", "shingles", asks.alias("asking"), F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    parts = parts.select("key", "part", "band", "cls", "comp", "sketch", "shingles", (F.col("asking") & (F.col("own") == F.col("part"))).alias("asks"))
+    blocks = [F.ceil(F.col(n) / BLOCK).cast("long").alias(c) for n, c in (("asking", "across"), ("all", "down"))]
+    split = split.select("key", F.col("most.comp").alias("main"), (F.col("all") - F.col("most.n")).alias("asking"), "all").select("key", "main", *blocks)
+    left = placed.join(split, "key").withColumn("asking", F.col("comp") != F.col("main"))
+    left = left.withColumns({"i": F.pmod(F.xxhash64("cls"), "across"), "j": F.pmod(F.xxhash64("cls", F.lit(1)), "down")})
+    # a cell for each block that asks with each block that is held, so that no task holds more than two blocks
+    asked = F.when(F.col("asking"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("down") - 1), lambda j: F.col("i") * F.col("down") + j)).otherwise(F.array().cast("array<long>"))
+    held = F.transform(F.sequence(F.lit(0).cast("long"), F.col("across") - 1), lambda i: i * F.col("down") + F.col("j"))
+    cells = left.select("*", F.explode(F.array_union(asked, held)).alias("part"))
+    asks = F.col("asking") & (F.expr("part div down") == F.col("i"))
+    cells = cells.select("key", "part", "band", "cls", "comp", asks.alias("asks"), (F.col("part") % F.col("down") == F.col("j")).alias("held"))
+    parts = cells.join(wanted.select("cls", "sketch"), "cls").join(sets, "cls").select("key", "part", "band", "cls", "comp", "sketch", "shingles", "asks", "held")
     links = cut(parts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_across, "a long, b long").distinct(), "links")
     if links.take(1):
         labels = components(labels, links)

@@ -81,6 +81,15 @@ def test_near_copies_of_one_text(spark):
     assert as_dict(minhash.query(frame(spark, rows))) == brute.near_dups(rows)
 
 
+def test_blocks_of_a_band(spark, rows, monkeypatch):
+    monkeypatch.setattr(minhash, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rng = random.Random(4)
+    base = words(rng, 100, 5000)
+    near = [(2000 + d, " ".join(base[:at] + [f"x{d}"] + base[at + 1 :])) for d, at in enumerate(rng.randrange(100) for _ in range(25))]
+    assert as_dict(minhash.query(frame(spark, rows + near))) == brute.near_dups(rows + near)
+
+
 def test_interval_tree():
     first, last, depth, parent = suffix_dedup.interval_tree(np.array([0, 3, 5, 5, 2, 0, 4]), 2)
     assert sorted(zip(first, last, depth, parent, strict=True)) == [(0, 3, 3, 2), (0, 4, 2, 0), (1, 3, 5, 3), (5, 6, 4, 0)]
