@@ -5,7 +5,7 @@ tokens that are bytes, and the entropy of its tokens. Text that the vocabulary f
 noise) has few characters per token and many bytes; repetition has little entropy, random strings have much. What is
 usual depends on the language (the script, where the language is null) and, for entropy, on the length, so
 bands are taken from the corpus: for each language (for entropy, and each doubling of the token count) the quartiles over
-all documents, widened by WIDE interquartile ranges (at least by SLACK of the quartile, and more for texts of few tokens, whose measures vary). A document outside a band is rejected; groups
+all documents, widened by WIDE interquartile ranges (at least by SLACK of the quartile, for groups that are nearly all alike). A document outside a band is rejected; groups
 of under LEAST documents reject none. Words are cut apart from each other; white space makes no token.
 
 A null text has no words and is base_failed. Rows that repeat a doc_id are judged each by its text. Other columns but
@@ -25,7 +25,7 @@ from aerolith.llm import textnum as tn
 from aerolith.llm.common import bounded_batches, cut
 
 AT_ONCE, CACHED = 1 << 20, 150_000
-WIDE, SLACK, FEW, LEAST = 5.0, 0.25, 8.0, 50
+WIDE, SLACK, LEAST = 3.0, 0.02, 50
 #: Bands that are broadcast at most (some 100 bytes each).
 MOST_BANDS = 20_000
 VOCABULARY = "piece_bpe_32k.model"
@@ -172,7 +172,7 @@ def judged(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def edge(c: str, i: int):
         low, high = F.col(f"{c}_q")[0], F.col(f"{c}_q")[1]
-        room = F.greatest(F.lit(WIDE) * (high - low), F.lit(SLACK) * high) * (1 + FEW / F.sqrt(F.greatest("n_tokens", F.lit(1))))
+        room = F.greatest(F.lit(WIDE) * (high - low), F.lit(SLACK) * high)
         return low - room if i == 0 else high + room
 
     out, inside = rows, F.lit(True)

@@ -185,6 +185,19 @@ def test_quality_rejects_what_the_vocabulary_does_not_fit(spark):
     assert out[999][2] > 0.5
 
 
+def prose(rng, n):
+    return ["".join(rng.choices(["the", "ing", "er", "on", "st", "an", "re", "ly"], k=rng.randrange(1, 4))) for _ in range(n)]
+
+
+def test_quality_rejects_symbol_junk(spark):
+    rng = random.Random(12)
+    rows = [(d, " ".join(prose(rng, rng.randrange(200, 400))), "en", "s", 0) for d in range(200)]
+    junk = [(1000 + d, " ".join(w + rng.choice("#*$&|<>%") for w in prose(rng, 150)), "en", "s", 0) for d in range(3)]
+    out = as_dict(fertility.query(spark.createDataFrame(rows + junk, DOCS)).select("doc_id", "base_failed", "kept"))
+    assert all(out[d] == (False, False) for d in (1000, 1001, 1002))
+    assert sum(kept for d, (_, kept) in out.items() if d < 200) >= 196
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(900, 12))
