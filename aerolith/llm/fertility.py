@@ -3,10 +3,12 @@
 A public vocabulary with byte fallback cuts each word into pieces. Of each document: characters per token, the share of
 tokens that are bytes, and the entropy of its tokens. Text that the vocabulary fits badly (encoded data, wrong encodings,
 noise) has few characters per token and many bytes; repetition has little entropy, random strings have much. What is
-usual depends on the language (the script, where the language is null) and, for entropy, on the length, so
-bands are taken from the corpus: for each language (for entropy, and each doubling of the token count) the quartiles over
-all documents, widened by WIDE interquartile ranges (at least by SLACK of the quartile, for groups that are nearly all alike). A document outside a band is rejected; groups
-of under LEAST documents reject none. Words are cut apart from each other; white space makes no token.
+usual depends on the language (the script, where the language is null) and on the length, so bands are taken from the
+corpus: the quartiles over all documents of a language and a doubling of the token count, widened by WIDE interquartile
+ranges (at least by SLACK of the quartile, for groups that are nearly all alike). Where those are under LEAST documents,
+the band is that of the first wider group that has as many: neighbouring doublings, then the script, then the corpus (see
+WIDER). Only a corpus of under LEAST documents in all has no bands. A document outside a band is rejected. Words are cut
+apart from each other; white space makes no token.
 
 A null text has no words and is base_failed. Rows that repeat a doc_id are judged each by its text. Other columns but
 lang are not read.
@@ -26,6 +28,9 @@ from aerolith.llm.common import bounded_batches, cut
 
 AT_ONCE, CACHED = 1 << 20, 150_000
 WIDE, SLACK, LEAST = 3.0, 0.02, 50
+CELL = ["group", "script", "size"]
+#: Groups that a band can be taken from, the closest first: whose documents, and how many doublings of the token count to either side (None: all).
+WIDER = [("group", 0), ("group", 1), ("group", 2), ("script", 0), ("script", 1), ("script", 2), ("corpus", 0), ("corpus", 1), ("corpus", 2), ("group", None), ("script", None), ("corpus", None)]
 #: Bands that are broadcast at most (some 100 bytes each).
 MOST_BANDS = 20_000
 VOCABULARY = "piece_bpe_32k.model"
@@ -162,28 +167,41 @@ def measured(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return texts.mapInArrow(apply, like.schema).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)], *longs, *MEASURES, "script")
 
 
+def _places(held: bool):
+    """Of a cell: level, of and near of the groups that hold it, or (one a level) that it asks."""
+    out = []
+    for level, (of, reach) in enumerate(WIDER):
+        key = F.lit("") if of == "corpus" else F.col(of)
+        steps = range(-reach, reach + 1) if held and reach else [0]
+        for step in steps:
+            near = F.lit(-1) if reach is None else F.col("size") + step
+            out.append(F.struct(F.lit(level).alias("level"), key.alias("of"), near.cast("int").alias("near")))
+    return F.array(*out)
+
+
 def judged(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, the counts and measures of each row of docs, base_failed, kept."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = cut(measured(docs.select("doc_id", "text", lang.alias("lang")), vocabulary), "fertility")
     group = F.coalesce(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("script:"), "script"))
     rows = rows.withColumn("group", group).withColumn("size", F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int"))
-    quartiles = {c: F.percentile_approx(c, [0.25, 0.75], 10000).alias(f"{c}_q") for c in MEASURES}
-
-    def edge(c: str, i: int):
-        low, high = F.col(f"{c}_q")[0], F.col(f"{c}_q")[1]
-        room = F.greatest(F.lit(WIDE) * (high - low), F.lit(SLACK) * high)
-        return low - room if i == 0 else high + room
-
-    out, inside = rows, F.lit(True)
-    for keys, n, names in ((["group"], "__n", MEASURES[:2]), (["group", "size"], "__m", MEASURES[2:])):
-        bands = rows.groupBy(*keys).agg(F.count("*").alias(n), *[quartiles[c] for c in names])
-        bands = cut(bands, "bands")
-        # most documents are of one language: with few bands the rows need not meet by language
-        out = out.join(F.broadcast(bands) if bands.count() <= MOST_BANDS else bands, keys)
-        for c in names:
-            top = edge(c, 1) + F.lit(0.05 if c == "byte_share" else 1e-9)
-            inside = inside & (F.col(c).between(edge(c, 0), top) | (F.col(n) < LEAST))
+    cells = cut(rows.groupBy(*CELL).count().select(*CELL), "cells")
+    # the quartiles of all groups come from one table of how often each rounded value occurs
+    value = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.round(c, 4).alias("value")) for c in MEASURES]))
+    values = cut(rows.select(*CELL, value.alias("m")).select(*CELL, "m.*").groupBy(*CELL, "measure", "value").count(), "values")
+    held = values.select(F.explode(_places(True)).alias("at"), "measure", "value", "count").select("at.*", "measure", "value", "count")
+    quartiles = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)), F.col("count"))
+    bands = held.groupBy("level", "of", "near", "measure").agg(F.sum("count").alias("n"), quartiles.alias("q")).where(F.col("n") >= LEAST)
+    asked = cells.select(*CELL, F.explode(_places(False)).alias("at")).select(*CELL, "at.*")
+    nearest = asked.join(bands, ["level", "of", "near"]).groupBy(*CELL).agg(*[F.min(F.when(F.col("measure") == c, F.struct("level", "q"))).alias(f"{c}_q") for c in MEASURES])
+    bands = cut(nearest, "bands")
+    # most documents are of one language: with few bands the rows need not meet by language
+    out, inside = rows.join(F.broadcast(bands) if bands.count() <= MOST_BANDS else bands, CELL, "left"), F.lit(True)
+    for c in MEASURES:
+        low, high = F.col(f"{c}_q.q")[0], F.col(f"{c}_q.q")[1]
+        room = F.greatest(WIDE * (high - low), SLACK * high)
+        within = F.col(c).between(low - room - 1e-9, high + room + F.lit(0.05 if c == "byte_share" else 1e-9))
+        inside = inside & F.coalesce(within, F.lit(True))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     return out.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "n_tokens", *MEASURES)

@@ -198,6 +198,17 @@ def test_quality_rejects_symbol_junk(spark):
     assert sum(kept for d, (_, kept) in out.items() if d < 200) >= 196
 
 
+def test_quality_judges_small_groups(spark):
+    rng = random.Random(13)
+    rows = [(d, " ".join(prose(rng, rng.randrange(200, 400))), "en", "s", 0) for d in range(120)]
+    rows += [(500 + d, " ".join(prose(rng, 250)), "xx", "s", 0) for d in range(3)]
+    noise = ["".join(chr(rng.randrange(0x1F300, 0x1F600)) for _ in range(8)) for _ in range(40)]
+    odd = [(1000, " ".join(noise), "xx", "s", 0), (1001, " ".join(f"{w}#*{i}$%" for i, w in enumerate(prose(rng, 4000))), "en", "s", 0)]
+    out = as_dict(fertility.query(spark.createDataFrame(rows + odd, DOCS)).select("doc_id", "base_failed", "kept"))
+    assert out[1000] == out[1001] == (False, False)
+    assert all(out[500 + d] == (False, True) for d in range(3))
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(900, 12))
