@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm import textnum as tn
-from aerolith.llm.common import bounded_batches, cut, order_id, original_id
+from aerolith.llm.common import LAST_ID, apart, back, bounded_batches, cut, order_id, original_id
 
 WORDS, T, BAND, PERCENT, AT_ONCE = 5, 128, 4, 75, 1 << 20
 #: Sketches of a pair at the threshold agree in fewer coordinates than this once in three million times.
@@ -290,7 +290,23 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id; of rows that repeat it, one."""
-    keep = near_duplicates(docs).where("kept").select(order_id().alias("__id")).distinct()
-    rows = docs.withColumn("__id", order_id()).join(keep, "__id")
-    return rows.drop("__id")
+    """One row of each group of near duplicates: the one with the smallest doc_id (a null one comes last), then the least text hash.
+
+    Rows are told apart by a number of their own, so repeated and null ids count as the rows they are. Of rows that repeat
+    an id and a text without words one stays; those of null ids have no group and stay.
+    """
+    names, found = docs.columns, apart(docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rest = F.xxhash64(*[F.col(c).cast("string") for c in ("lang", "source", "n_chars") if c in names])
+    rank = F.struct(order_id().alias("id"), F.sha2(text, 256).alias("th"), rest.alias("rest"))
+    rows = cut(found.select("*", rank.alias("__rank"), F.monotonically_increasing_id().alias("__row")), "rows")
+    linked, labels = link(rows.select(F.col("__row").alias("doc_id"), "text"))
+    ranked = linked.select(F.col("doc_id").alias("__row"), "n", "cls").join(rows.select("__row", "__rank"), "__row")
+    first = F.min(F.struct("__rank", "__row")).alias("first")
+    classes = ranked.where("n > 0").groupBy("cls").agg(first)
+    groups = classes.join(labels, classes.cls == labels.node, "left").groupBy(F.coalesce("comp", "cls").alias("comp")).agg(F.min("first").alias("first"))
+    alone = ranked.where("n = 0")
+    # a null id names no document: its rows are grouped by themselves
+    single = alone.groupBy("__rank.id", "__rank.th", F.when(F.col("__rank.id") == LAST_ID, F.col("__row")).alias("own")).agg(first)
+    keep = groups.select("first.__row").unionByName(single.select("first.__row"))
+    return back(rows.join(keep, "__row"), names)

@@ -69,6 +69,15 @@ def test_near_duplicates(spark, rows):
     assert as_dict(minhash.query(frame(spark, rows))) == brute.near_dups(rows)
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(14)
+    a, b, c, d, e = (" ".join(words(rng, 60, 5000)) for _ in range(5))
+    near = a + " more"
+    texts = [(1, a), (1, a), (None, near), (None, a), (None, b), (None, b), (2, c), (2, d), (3, d), (4, ""), (4, ""), (None, ""), (None, None), (5, e), (None, e)]
+    out = minhash.stage(frame(spark, texts)).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([(1, a), (None, b), (2, c), (2, d), (4, ""), (None, ""), (None, None), (5, e)], key=str)
+
+
 def test_near_copies_of_one_text(spark):
     rng = random.Random(2)
     base = words(rng, 120, 5000)
