@@ -67,7 +67,7 @@ def solve(shard: pa.Table, unit: R.Unit):
     buf, bounds = tn.joined(*tn.utf8(shard.column("body")))
     m, reach = len(doc), unit.length - unit.gram
     right_n, left_n = np.minimum(np.diff(bounds) - off, unit.length), np.minimum(off, reach)
-    if m < 2:
+    if m < 2 and not hot.any():  # a hot context alone in its part is still compared across parts
         return
     middle = bounds[:-1] + off
     right, left = np.zeros((m, unit.length), np.uint8), np.zeros((m, reach), np.uint8)

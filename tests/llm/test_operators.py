@@ -60,6 +60,12 @@ def test_suffix_dedup(spark, rows, sizes):
     assert as_dict(suffix_dedup.query(frame(spark, rows), **sizes)) == brute.suffix_dedup(rows)
 
 
+@pytest.mark.parametrize("operator", ["suffix_dedup", "fm_dedup"])
+def test_single_contexts_of_hot_anchors(spark, rows, operator):
+    module = {"suffix_dedup": suffix_dedup, "fm_dedup": fm_dedup}[operator]
+    assert as_dict(module.query(frame(spark, rows), hot=1, indexed=1)) == getattr(brute, operator)(rows)
+
+
 @pytest.mark.parametrize("sizes", [{}, {"hot": 2, "indexed": 20}])
 def test_fm_dedup(spark, rows, sizes):
     assert as_dict(fm_dedup.query(frame(spark, rows), **sizes)) == brute.fm_dedup(rows)
