@@ -1,4 +1,8 @@
-"""Queries over the views, one or more for each operator; ORACLES has SQL for the same rows."""
+"""Queries over the views, one or more for each operator; ORACLES has SQL for the same rows.
+
+SQL can match only components in which one box touches all others (matching.star_pairs), so queries with SQL that rest on
+matches leave out all others. Each has a twin, its name with _optimal added, that matches all components and has no SQL.
+"""
 
 from __future__ import annotations
 
@@ -16,11 +20,13 @@ N_BOOT, SEED = 200, 7
 QUERIES, ORACLES = {}, {}
 
 
-def query(sql: str | None = None):
-    """Registers a function of the views as a query, with SQL (after the views' own) that gives its rows."""
+def query(sql: str | None = None, twin: bool = False):
+    """Registers a function of the views as a query, with SQL (after the views' own) that gives its rows, and its twin."""
 
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if twin:
+            QUERIES[f.__name__ + "_optimal"] = lambda spark, sf_dir: f(Views(spark, sf_dir, optimal=True))
         if sql is not None:
             ORACLES[f.__name__] = sql if sql.startswith("--") else WITH + sql
         return f
@@ -41,9 +47,13 @@ def spine(v: Views) -> DataFrame:
     return v.chips.crossJoin(F.broadcast(levels))  # seven levels
 
 
+def pairs(v: Views, edge_rows: DataFrame, keys: list[str], threshold: float = 0.25) -> DataFrame:
+    return (matching.matched_pairs if v.optimal else matching.star_pairs)(edge_rows, keys, threshold)
+
+
 def counts(v: Views, optimal: bool = False) -> DataFrame:
-    pairs = (matching.matched_pairs if optimal else matching.star_pairs)(edges(v), GROUP, 0.25)
-    return matching.counts(spine(v), kept(v), v.refs, pairs, GROUP)
+    found = matching.matched_pairs(edges(v), GROUP, 0.25) if optimal else pairs(v, edges(v), GROUP)
+    return matching.counts(spine(v), kept(v), v.refs, found, GROUP)
 
 
 def curve(v: Views, keys: list[str]) -> DataFrame:
@@ -83,7 +93,7 @@ def q_match_single_star(v):
 
 @query("""select level, cast(sum(matches) as bigint) as matches, cast(sum(predictions) as bigint) as predictions, cast(sum("references") as bigint) as "references",
 round(100.0 * sum(matches)::double / nullif(sum(predictions), 0), 9) as "precision", round(100.0 * sum(matches)::double / nullif(sum("references"), 0), 9) as recall,
-round(200.0 * sum(matches)::double / nullif(sum(predictions) + sum("references"), 0), 9) as f1 from counts group by 1""")
+round(200.0 * sum(matches)::double / nullif(sum(predictions) + sum("references"), 0), 9) as f1 from counts group by 1""", twin=True)
 def q_pooled_prf(v):
     return metrics.pooled(counts(v), ["level"]).select("level", "matches", "predictions", "references", *r9("precision", "recall", "f1"))
 
@@ -109,9 +119,9 @@ def tuned(v: Views) -> DataFrame:
     grid = selection.grid(v.spark, *GRID)
     chosen = selection.select_boxes(v.cands, grid, EXTENT).select("config", *GROUP, "level", "cand_id")
     found = matching.edges(selection.clip(v.cands, EXTENT).select(*GROUP, "cand_id", "x0", "y0", "x1", "y1"), v.refs).select(*GROUP, "cand_id", "ref_id", "iou")
-    pairs = matching.star_pairs(chosen.join(found.where("iou >= 0.25D"), [*GROUP, "cand_id"]), ["config", *GROUP, "level"], 0.25)
+    matched = pairs(v, chosen.join(found.where("iou >= 0.25D"), [*GROUP, "cand_id"]), ["config", *GROUP, "level"])
     p = chosen.groupBy("config", "level").agg(F.count("*").alias("predictions"))
-    m = pairs.groupBy("config", "level").agg(F.count("*").alias("matches"))
+    m = matched.groupBy("config", "level").agg(F.count("*").alias("matches"))
     r = v.refs.join(v.chips, "chip_id", "left_semi").agg(F.count("*").alias("references"))
     levels = v.cands.select("level").distinct()
     rows = levels.crossJoin(F.broadcast(grid.select("config"))).crossJoin(F.broadcast(r))  # levels, settings, one row
@@ -126,22 +136,22 @@ def q_grid_sweep(v):
     return rows.groupBy("config", "level_id").agg(F.count("*").alias("kept"))
 
 
-@query(_tuned + "select config, mean_f1 from ranked where place = 1")
+@query(_tuned + "select config, mean_f1 from ranked where place = 1", twin=True)
 def q_freeze_fixed(v):
     return tuning.best(tuned(v)).select("config", "mean_f1")
 
 
-@query(_tuned + "select config, mean_f1, place from ranked where place between 2 and 5")
+@query(_tuned + "select config, mean_f1, place from ranked where place between 2 and 5", twin=True)
 def q_runner_up(v):
     return tuning.runners_up(tuned(v)).select("config", "mean_f1", F.col("place").cast("long").alias("place"))
 
 
-@query(_tuned + "select level, config, f1 from (select *, row_number() over (partition by level order by f1 desc nulls last, config) as rn from tuned) t where rn = 1")
+@query(_tuned + "select level, config, f1 from (select *, row_number() over (partition by level order by f1 desc nulls last, config) as rn from tuned) t where rn = 1", twin=True)
 def q_freeze_per_level(v):
     return tuning.best_by_level(tuned(v)).select("level", "config", "f1")
 
 
-@query(_tuned + "select config, level, f1 from tuned where level = (select min(level) from tuned)")
+@query(_tuned + "select config, level, f1 from tuned where level = (select min(level) from tuned)", twin=True)
 def q_native_level(v):
     return tuning.at_finest(tuned(v)).select("config", "level", "f1")
 
@@ -159,18 +169,18 @@ breaks as (select k.*, case when b.level is not null then pow(10.0::double, log1
   from (select distinct {keys} from {source}) k left join b4 b on n = 1 and {' and '.join(f'k.{c.strip()} = b.{c.strip()}' for c in keys.split(','))}) """
 
 
-@query(_city + _break_sql("f1 desc nulls last, level", "city", "series") + "select city, round(break_point, 6) as break_point from breaks")
+@query(_city + _break_sql("f1 desc nulls last, level", "city", "series") + "select city, round(break_point, 6) as break_point from breaks", twin=True)
 def q_break_point(v):
     return curves.break_point(curve(v, ["city"]), ["city"]).select("city", F.round("break_point", 6).alias("break_point"))
 
 
-@query(_city + _break_sql("level", "city", "series") + "select city, round(break_point, 6) as break_point from breaks")
+@query(_city + _break_sql("level", "city", "series") + "select city, round(break_point, 6) as break_point from breaks", twin=True)
 def q_break_point_finest(v):
     return curves.break_point(curve(v, ["city"]), ["city"], reference="finest").select("city", F.round("break_point", 6).alias("break_point"))
 
 
 @query(_city + """, p as (select *, row_number() over (partition by city order by f1 desc nulls last, level) as a, row_number() over (partition by city order by f1 - 9 * level desc nulls last, level) as b from series)
-select city, max(case when a = 1 then level end) as peak_level, round(max(case when a = 1 then f1 end), 9) as peak_f1, max(case when b = 1 then level end) as peak_above_level from p group by 1""")
+select city, max(case when a = 1 then level end) as peak_level, round(max(case when a = 1 then f1 end), 9) as peak_f1, max(case when b = 1 then level end) as peak_above_level from p group by 1""", twin=True)
 def q_peak_fields(v):
     rows = curves.peaks(curve(v, ["city"]).withColumn("floor", 9 * F.col("level")), ["city"])
     return rows.select("city", "peak_level", *r9("peak_f1"), "peak_above_level")
@@ -179,7 +189,7 @@ def q_peak_fields(v):
 _sums = ', sums as (select block, level, sum(matches) as matches, sum(predictions) as predictions, sum("references") as refs from counts group by 1, 2)'
 
 
-@query(_sums + 'select block, level, cast(matches as bigint) as matches, cast(predictions as bigint) as predictions, cast(refs as bigint) as "references" from sums')
+@query(_sums + 'select block, level, cast(matches as bigint) as matches, cast(predictions as bigint) as predictions, cast(refs as bigint) as "references" from sums', twin=True)
 def q_block_sums(v):
     return bootstrap.block_sums(counts(v), ["level"]).select("block", "level", "matches", "predictions", "references")
 
@@ -194,20 +204,20 @@ def replicates(v: Views) -> DataFrame:
     return bootstrap.replicates(sums, bootstrap.draws(v.chips, N_BOOT), ["level"])
 
 
-@query(_reps + "select level, round(quantile_cont(f1, 0.025), 6) as lo, round(quantile_cont(f1, 0.975), 6) as hi from reps group by 1")
+@query(_reps + "select level, round(quantile_cont(f1, 0.025), 6) as lo, round(quantile_cont(f1, 0.975), 6) as hi from reps group by 1", twin=True)
 def q_bootstrap_ci(v):
     rows = bootstrap.interval(replicates(v), ["level"])
     return rows.select("level", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-@query(_reps + _break_sql("f1 desc nulls last, level", "boot_id", "reps") + "select round(quantile_cont(break_point, 0.025), 6) as lo, round(quantile_cont(break_point, 0.975), 6) as hi, count(break_point) / count(*)::double as found from breaks")
+@query(_reps + _break_sql("f1 desc nulls last, level", "boot_id", "reps") + "select round(quantile_cont(break_point, 0.025), 6) as lo, round(quantile_cont(break_point, 0.975), 6) as hi, count(break_point) / count(*)::double as found from breaks", twin=True)
 def q_bootstrap_break_ci(v):
     rows = curves.break_point(replicates(v).withColumn("floor", F.lit(None).cast("double")), ["boot_id"])
     out = bootstrap.interval(rows, [], "break_point")
     return out.select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "found")
 
 
-@query(_reps + ", c as (select level, 5.0::double * level as chance_f1 from levels) select c.level, coalesce(q.lo > c.chance_f1, false) as above_chance from c left join (select level, quantile_cont(f1, 0.025) as lo from reps group by 1) q on q.level = c.level")
+@query(_reps + ", c as (select level, 5.0::double * level as chance_f1 from levels) select c.level, coalesce(q.lo > c.chance_f1, false) as above_chance from c left join (select level, quantile_cont(f1, 0.025) as lo from reps group by 1) q on q.level = c.level", twin=True)
 def q_above_chance(v):
     chance = v.cands.select("level").distinct().withColumn("chance_f1", 5.0 * F.col("level"))
     return curves.above_chance(replicates(v), chance, ["level"])
@@ -215,10 +225,11 @@ def q_above_chance(v):
 
 @query(_reps.replace(_sums, """, half as (select chip_id, level_id, count(*) as m5 from pairs where iou >= 0.5 group by 1, 2),
 sums as (select block, level, sum(matches) as matches, coalesce(sum(m5), 0) as m5, sum(predictions) as predictions, sum("references") as refs from counts left join half using (chip_id, level_id) group by 1, 2)""").replace("as f1 from drawn", "as fa, 200.0 * sum(times * m5)::double / nullif(sum(times * (predictions + refs)), 0) as fb from drawn")
-+ " select level, round(quantile_cont(fa - fb, 0.025), 6) as lo, round(quantile_cont(fa - fb, 0.975), 6) as hi from reps group by 1")
++ " select level, round(quantile_cont(fa - fb, 0.025), 6) as lo, round(quantile_cont(fa - fb, 0.975), 6) as hi from reps group by 1", twin=True)
 def q_paired_diff(v):
-    """F1 at IoU 0.25 less F1 at 0.5, on shared resamples."""
-    strict = matching.star_pairs(edges(v), GROUP, 0.25).where("iou >= 0.5D").groupBy(*GROUP).agg(F.count("*").alias("m5"))
+    """F1 at IoU 0.25 less F1 at 0.5, on shared resamples; the twin matches again at 0.5."""
+    strict = pairs(v, edges(v), GROUP, 0.5) if v.optimal else pairs(v, edges(v), GROUP).where("iou >= 0.5D")
+    strict = strict.groupBy(*GROUP).agg(F.count("*").alias("m5"))
     rows = counts(v).join(strict, GROUP, "left").fillna(0, ["m5"])
     sums = bootstrap.block_sums(rows, ["level"], [*bootstrap.COUNTS, "m5"])
     reps = bootstrap.paired(sums, bootstrap.draws(v.chips, N_BOOT), ["level"], bootstrap.COUNTS, ["m5", "predictions", "references"])
@@ -313,7 +324,7 @@ def q_size_terciles(v):
     return rows.groupBy("size_group").agg(F.count("*").alias("chips"), F.round(F.percentile("side", F.lit(0.5)), 9).alias("median_side"))
 
 
-@query(_terciles + """ select size_group, level, round(200.0 * sum(matches)::double / nullif(sum(predictions) + sum("references"), 0), 9) as f1, count(distinct chip_id) as chips from counts join grouped using (chip_id) group by 1, 2""")
+@query(_terciles + """ select size_group, level, round(200.0 * sum(matches)::double / nullif(sum(predictions) + sum("references"), 0), 9) as f1, count(distinct chip_id) as chips from counts join grouped using (chip_id) group by 1, 2""", twin=True)
 def q_size_curves(v):
     rows = counts(v).join(sampling.terciles(chip_sizes(v), "side").select("chip_id", "size_group"), "chip_id")
     n = rows.groupBy("size_group", "level").agg(F.count_distinct("chip_id").alias("chips"))
@@ -327,7 +338,7 @@ def q_city_sizes(v):
     return rows.select("city", "buildings", "empty_chips", *r9("p25", "median", "p75", "share_small"))
 
 
-@query(_city + """ select city, round(max(case when level = 0.9 then f1 end), 9) as f1_0_9, round(max(case when level = 2.4 then f1 end), 9) as f1_2_4, round(max(case when level = 5.0 then f1 end), 9) as f1_5_0 from series group by 1""")
+@query(_city + """ select city, round(max(case when level = 0.9 then f1 end), 9) as f1_0_9, round(max(case when level = 2.4 then f1 end), 9) as f1_2_4, round(max(case when level = 5.0 then f1 end), 9) as f1_5_0 from series group by 1""", twin=True)
 def q_per_city_curve(v):
     rows = curve(v, ["city"])
     at = lambda x: F.round(F.max(F.when(F.col("level") == x, F.col("f1"))), 9)
@@ -335,10 +346,10 @@ def q_per_city_curve(v):
 
 
 @query(_sized + """, a as (select r.chip_id, ref_id, (x1 - x0) * (y1 - y0) as area from refs r), m as (select p.level_id, a.area from pairs p join a using (chip_id, ref_id))
-select level_id, count(*) as matched, round(quantile_cont(area, 0.5), 6) as median_area, round(avg(area), 6) as mean_area, round(avg(case when area > 300 then 1.0::double else 0.0::double end), 9) as share_large from m group by 1""")
+select level_id, count(*) as matched, round(quantile_cont(area, 0.5), 6) as median_area, round(avg(area), 6) as mean_area, round(avg(case when area > 300 then 1.0::double else 0.0::double end), 9) as share_large from m group by 1""", twin=True)
 def q_coarse_diag(v):
     """Sizes of the references that are matched at each level."""
-    rows = matching.star_pairs(edges(v), GROUP, 0.25).join(sided(v).select("chip_id", "ref_id", "area"), ["chip_id", "ref_id"])
+    rows = pairs(v, edges(v), GROUP).join(sided(v).select("chip_id", "ref_id", "area"), ["chip_id", "ref_id"])
     big = F.avg((F.col("area") > 300).cast("double"))
     return rows.groupBy("level_id").agg(F.count("*").alias("matched"), F.round(F.percentile("area", F.lit(0.5)), 6).alias("median_area"), F.round(F.avg("area"), 6).alias("mean_area"), F.round(big, 9).alias("share_large"))
 

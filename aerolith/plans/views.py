@@ -29,8 +29,8 @@ TABLES = ("customer", "nation", "region", "orders", "lineitem")
 
 
 class Views:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, optimal: bool = False):
+        self.spark, self.sf_dir, self.optimal = spark, sf_dir, optimal
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import boxes, kernels
 from aerolith.operators import baseline, bootstrap, curves, matching, metrics, raster, relational, sampling, selection, tuning
+from aerolith.plans import queries as plans
 from aerolith.plans.queries import ORACLES, QUERIES
 from aerolith.sources import readers, writers
 from aerolith.streaming import counts as stream
@@ -72,6 +73,29 @@ def test_counts_of_the_views(spark):
     assert {r.level_id: (r.predictions, r.references, r.matches) for r in rows} == expected
 
 
+def test_twins_match_all_components(spark):
+    # the fixed values of test_counts_of_the_views
+    matches = {0.3: 6468, 0.6: 6332, 0.9: 5873, 1.2: 4470, 2.4: 2174, 5.0: 876, 10.0: 352}
+    found = {r.level: r.matches for r in QUERIES["q_pooled_prf_optimal"](spark, DATA).collect()}
+    assert found == matches
+    f1 = {r.config: r.f1 for r in QUERIES["q_native_level_optimal"](spark, DATA).collect()}
+    assert abs(f1["pair|t0.2|max30|min0"] - 200 * 6468 / (8206 + 15000)) < 1e-6
+    sums = QUERIES["q_block_sums_optimal"](spark, DATA).groupBy("level").agg(F.sum("matches").alias("m")).collect()
+    assert {r.level: r.m for r in sums} == matches
+
+
+def test_twin_matches_again_at_half(spark, monkeypatch):
+    # at 0.25 two pairs (0.3 and 0.45), at 0.5 the one pair of 0.6, which the first matching passes over
+    e = spark.createDataFrame([(1, 1, 1, 1, 0.6), (1, 1, 1, 2, 0.45), (1, 1, 2, 1, 0.3)], "chip_id long, level_id int, cand_id long, ref_id long, iou double")
+    v = plans.Views(spark, DATA, optimal=True)
+    assert [plans.pairs(v, e, plans.GROUP, x).count() for x in (0.25, 0.5)] == [2, 1]
+    seen = []
+    match = plans.pairs
+    monkeypatch.setattr(plans, "pairs", lambda v, rows, keys, threshold=0.25: seen.append(threshold) or match(v, rows, keys, threshold))
+    assert plans.q_paired_diff(v).count() == 7
+    assert sorted(seen) == [0.25, 0.5]
+
+
 def test_select_boxes(spark):
     df = spark.createDataFrame([(1, 1, -5.0, -5.0, 10.0, 10.0, [0.9, 0.1]), (1, 2, 25.0, 25.0, 30.0, 30.0, [0.9, 0.1]), (1, 3, 0.0, 0.0, 15.0, 3.0, [0.1, 0.5])], "chip_id long, cand_id long, x0 double, y0 double, x1 double, y1 double, scores array<double>")
     grid = selection.grid(spark, {"a": [0], "ab": [0, 1]}, [0.5], [12.0], [0.0])
