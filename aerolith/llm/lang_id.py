@@ -81,7 +81,10 @@ def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 def _ranked(doc: np.ndarray, gram: np.ndarray, count: np.ndarray, places: int):
     """Each text's most frequent n-grams with their places, from 0."""
-    order = np.argsort(doc << 43 | ((1 << 19) - 1 - np.minimum(count, (1 << 19) - 1)) << 24 | gram & 0xFFFFFF)
+    if len(count) and count.max() >> 19:  # too many for the packed key
+        order = np.lexsort((gram & 0xFFFFFF, -count, doc))
+    else:
+        order = np.argsort(doc << 43 | ((1 << 19) - 1 - count) << 24 | gram & 0xFFFFFF)
     doc, gram = doc[order], gram[order]
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
     place = np.arange(len(doc)) - np.repeat(first, np.diff(np.concatenate([first, [len(doc)]])))

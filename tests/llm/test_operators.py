@@ -167,6 +167,11 @@ def test_language(spark):
     assert kept == set(out) - {200, 201}
 
 
+def test_frequent_grams_rank_by_count():
+    doc, gram, place = lang_id._ranked(np.array([0, 0, 0, 1]), np.array([1, 2, 3, 1]), np.array([2**19, 2**20, 2**21, 5]), 2)
+    assert list(zip(doc.tolist(), gram.tolist(), place.tolist(), strict=True)) == [(0, 3, 0), (0, 2, 1), (1, 1, 0)]
+
+
 def base_rules(text):
     w = brute.WORD.findall(text or "")
     seen, again = set(), 0
