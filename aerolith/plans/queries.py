@@ -269,13 +269,13 @@ def _null_matches(v: Views, moved: DataFrame, n_rep: int) -> DataFrame:
 @query()
 def q_chance_matches(v):
     """Mean optimal matches of evenly relocated boxes; no SQL has the matching."""
-    return _null_matches(v, baseline.relocate_uniform(baseline.repeated(kept(v), 3), EXTENT, [*GROUP, "cand_id", "rep"]), 3)
+    return _null_matches(v, baseline.relocate_uniform(baseline.repeated(kept(v), 20), EXTENT, [*GROUP, "cand_id", "rep"]), 20)
 
 
 @query()
 def q_oracle_matches(v):
     """The same of boxes centred on references."""
-    return _null_matches(v, baseline.relocate_to_refs(baseline.repeated(kept(v), 2), v.refs, [*GROUP, "rep"], ["cand_id"]), 2)
+    return _null_matches(v, baseline.relocate_to_refs(baseline.repeated(kept(v), 10), v.refs, [*GROUP, "rep"], ["cand_id"]), 10)
 
 
 @query()

@@ -164,6 +164,12 @@ def test_null_models(spark):
     assert all(abs(r.x1 - r.x0 - 6) < 1e-9 and r.x0 >= 0 and r.x1 <= 50 for r in even)
 
 
+def test_relocations_as_many_as_the_references(spark, monkeypatch):
+    monkeypatch.setattr(plans, "_null_matches", lambda v, moved, n_rep: n_rep)
+    v = plans.Views(spark, DATA)
+    assert (plans.q_chance_matches(v), plans.q_oracle_matches(v)) == (20, 10)
+
+
 def test_upkeep_and_files(spark, tmp_path):
     for n in ("img1.tif", "img2.tif", "img10.tif"):
         (tmp_path / n).write_bytes(b"x")
