@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,24 +21,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or, where that is unset, one in the warehouse."""
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_to:
         return set_to.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/aerolith_tables"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and warehouse.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse + "/aerolith_tables"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        sc = spark.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may be gone by then; the folder then stays
-        pass
+def _held(spark: SparkSession) -> dict[str, tuple]:
+    """The tables that this session's context has written and not removed: path -> file system and path in the JVM.
+
+    They go when the context stops; the file system removes what is left when the JVM ends.
+    """
+    sc = spark.sparkContext
+    if "_aerolith_tables" not in sc.__dict__:
+        tables, stop = {}, sc.stop
+
+        def stop_after_removing() -> None:
+            for path in list(tables):
+                _delete(tables, path)
+            stop()
+
+        sc._aerolith_tables, sc.stop = tables, stop_after_removing
+    return sc._aerolith_tables
+
+
+def _delete(tables: dict[str, tuple], path: str) -> None:
+    system, where = tables.pop(path)
+    system.delete(where, True)
+    system.cancelDeleteOnExit(where)
+
+
+def hold(spark: SparkSession, path: str) -> None:
+    """Has a folder that is written now removed with the session."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    _held(spark)[path] = system, where
+    system.deleteOnExit(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a held folder now."""
+    if path in (tables := _held(spark)):
+        _delete(tables, path)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in each batch that goes to Python than the default, for rows of whole texts; a smaller setting stays."""
+    """Fewer rows in each batch that goes to Python than the default, for rows of whole texts; a smaller setting stays (bytes are bounded by Spark's own)."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
@@ -48,7 +80,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """df written as a table in the shared folder and read back: whoever reads it needs nothing that came before.
 
     The shuffle files of the job that wrote it are removed when it ends, so that a query of several such steps holds the
-    files of one step at a time.
+    files of one step at a time. The table stays until drop(), settled() or the session's end removes it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -58,15 +90,26 @@ def cut(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    atexit.register(_remove, spark, path)
+        hold(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
 
 
-def drop(table: DataFrame) -> None:
-    """Deletes a table that cut() wrote, once nothing reads it any more."""
-    _remove(table.sparkSession, table.cut_path)
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote, once nothing reads them any more; other frames are left alone."""
+    for table in tables:
+        if hasattr(table, "cut_path"):
+            remove(table.sparkSession, table.cut_path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What make() returns as a table; the tables that were cut on the way to it go."""
+    before = set(_held(spark))
+    out = cut(make(), label)
+    for path in set(_held(spark)) - before - {out.cut_path}:
+        remove(spark, path)
+    return out
 
 
 #: The columns of documents; a stage sets others aside by place, so that their names can be any.
