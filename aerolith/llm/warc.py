@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import LAST_ID, bounded_batches, cut, order_id, original_id, shared_dir
+from aerolith.llm.common import LAST_ID, bounded_batches, cut, hold, order_id, original_id, remove, shared_dir
 
 RANGE, AHEAD = 8 << 20, 256 << 10
 MAGIC = b"\x1f\x8b\x08"
@@ -44,9 +44,10 @@ def plan(pages: DataFrame, least: int = 0) -> DataFrame:
     payload = F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b""))
     rows = pages.select(order_id("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("key", F.unhex(F.sha1("payload")))
-    # one row for each payload that occurs in several pages; the map side has summed up each task's
+    # one row for each payload that occurs in several pages; the map side has summed up each task's. A table of its own, so
+    # that the join is one of two plain shuffles, and Spark can split a payload that many pages have
     first = rows.where(F.length("payload") >= least).groupBy("key").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").drop("last")
-    joined = rows.join(first, "key", "left")
+    joined = rows.join(cut(first, "first-pages"), "key", "left")
     return joined.select("page_id", "url", "payload", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
 
 
@@ -87,7 +88,7 @@ def opened(uri: str):
         return open(re.sub(r"^file:(//)?", "", uri), "rb")
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
     return store.open_input_file(path)
 
 
@@ -198,8 +199,13 @@ def query(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write(plan(pages), path)
+    planned = plan(pages)
+    try:
+        write(planned, path)
+    finally:
+        hold(spark, path)
     rows = cut(read(spark, path, payloads=False).drop("payload", "url"), "records")
+    remove(spark, path)
     return rows.select(original_id("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to") != LAST_ID, F.col("refers_to")).alias("refers_to"))
 
 
