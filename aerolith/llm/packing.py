@@ -29,12 +29,11 @@ VOCABULARY = "word_bpe_49k.json"
 
 @functools.cache
 def _cache(vocabulary: str) -> tn.WordCache:
-    """This vocabulary drops white space, so that words can be cut apart."""
+    """This vocabulary drops white space, so that words can be cut apart; strings of added tokens within a word become those tokens, as in the whole text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(vocabulary)
-    model.encode_special_tokens = True
     return tn.WordCache(lambda words: [x.ids for x in model.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)])
 
 
