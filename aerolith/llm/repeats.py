@@ -6,12 +6,12 @@ anchor (winnowing). Equal windows have equal anchors at equal offsets, so whatev
 anchor. Anchors that occur once are dropped before any text moves; of each of the others the windows whose anchor it is
 (its context) go to the shard of the anchor's hash, where an index compares contexts.
 
-An anchor that occurs more than `hot` times is dealt to several shards by document. Each finds the repeats among its
-own part; the windows that are first there are then compared across parts by a 128-bit fingerprint, whose minimum is
+An anchor that occurs more than `hot` times is dealt to several shards by document and place (so that a single long text, or
+the texts without an id, make no large shard). Each finds the repeats among its own part; the windows that are first there are then compared across parts by a 128-bit fingerprint, whose minimum is
 taken on the map side. So no group of equal windows meets in one task, however large.
 
 Rows of equal text are one text, held by the smallest doc_id (its owner). Positions are longs: the text's number among
-those of its doc_id (0, where ids are unique) in the upper bits, the unit's offset in the lower 40. Rows that share a
+those of its doc_id (0, where ids are unique) in the upper bits, the unit's offset in the lower 32. Rows that share a
 doc_id are one document, so a text later in it (by SHA-256) comes after an earlier one. A null doc_id sorts last.
 """
 
@@ -31,7 +31,7 @@ from aerolith.llm.common import bounded_batches, cut, drop, order_id
 
 #: Bytes of text handled at a time.
 AT_ONCE = 1 << 20
-OFFSET = (1 << 40) - 1
+SHIFT, OFFSET = 32, (1 << 32) - 1
 
 NO_SPANS = "cast(array() as array<struct<start: bigint, end: bigint>>)"
 CONTEXT = "h long, salt int, hot boolean, doc_id long, pos long, off int, body binary"
@@ -58,12 +58,26 @@ class Unit:
 
 
 def with_owner(docs: DataFrame) -> DataFrame:
-    """doc_id, th (the text's SHA-256), v (the text's number in its doc_id), owner (smallest doc_id with the text)."""
+    """doc_id, th (the text's SHA-256), v (the text's number in its doc_id), owner (smallest doc_id with the text).
+
+    What is joined by hash or by id is a table each, so that a text or an id (a null one) of many rows is split.
+    """
     bounded_batches(docs.sparkSession)
-    rows = keyed(docs).groupBy("doc_id", "th").agg(F.count("*").alias("rows"))
-    owners = rows.groupBy("th").agg(F.min("doc_id").alias("owner"))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("th")) - 1
-    return cut(rows.join(owners, "th").select("doc_id", "th", number.cast("int").alias("v"), "owner"), "owners")
+    rows = cut(keyed(docs).select("doc_id", "th").distinct(), "texts")
+    owners = cut(rows.groupBy("th").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last"), "owners")
+    # ids of several texts: numbers go by stretches of the hash, so that no task numbers all texts of an id
+    several = rows.groupBy("doc_id").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi").select("doc_id")
+    several = cut(several, "several")
+    shared = cut(rows.join(several, "doc_id").withColumn("stretch", F.substring("th", 1, 2)), "shared-ids")
+    before = Window.partitionBy("doc_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(shared.groupBy("doc_id", "stretch").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "stretches")
+    place = F.row_number().over(Window.partitionBy("doc_id", "stretch").orderBy("th")) - 1
+    numbers = shared.withColumn("place", place).join(starts, ["doc_id", "stretch"])
+    numbers = cut(numbers.select("doc_id", "th", (F.col("before") + F.col("place")).cast("int").alias("v")), "numbers")
+    owned = rows.join(owners, "th", "left").join(numbers, ["doc_id", "th"], "left")
+    out = cut(owned.select("doc_id", "th", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("owner", "doc_id").alias("owner")), "owned")
+    drop(rows, owners, several, shared, starts, numbers)
+    return out
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
@@ -96,12 +110,12 @@ def find(docs: DataFrame, owners: DataFrame, unit: Unit, solve: Callable) -> Dat
     shared = cut(counted.where("n > 1" if unit.within else "a < b").select("h", "n"), "shared")
     wanted = (
         anchors.join(shared, "h")
-        .groupBy("doc_id", F.shiftright("pos", 40).cast("int").alias("v"))
+        .groupBy("doc_id", F.shiftright("pos", SHIFT).cast("int").alias("v"))
         .agg(F.collect_list(F.struct((F.col("pos").bitwiseAND(OFFSET)).alias("at"), "h", "n", "reach")).alias("anchors"))
     )
 
     wanted = cut(wanted, "wanted")
-    drop(anchors)
+    drop(anchors, shared)
 
     def cut_out(batches):
         for batch in _once(batches):
@@ -125,7 +139,7 @@ def spans_by_text(found: DataFrame) -> DataFrame:
     """doc_id, v, spans: of each text that has any. A text has one span for each of its anchors at most."""
     low = F.col("start").bitwiseAND(OFFSET)
     span = F.struct(low.alias("start"), (F.col("end") - F.col("start") + low).alias("end"))
-    return found.groupBy("doc_id", F.shiftright("start", 40).cast("int").alias("v")).agg(F.collect_list(span).alias("spans"))
+    return found.groupBy("doc_id", F.shiftright("start", SHIFT).cast("int").alias("v")).agg(F.collect_list(span).alias("spans"))
 
 
 def _once(batches):
@@ -156,7 +170,7 @@ def _anchors(batch, unit: Unit):
         at, first, last = tn.winnow(h, unit.length - unit.gram + 1, windows)
         of = np.searchsorted(by_doc, at, "right") - 1
         reach = ((at - first) << 16 | (last - first)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(doc[a + of]), pa.array((v[a + of] << 40) | (at - by_doc[of])), pa.array(reach)], ["h", "doc_id", "pos", "reach"])
+        yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(doc[a + of]), pa.array((v[a + of] << SHIFT) | (at - by_doc[of])), pa.array(reach)], ["h", "doc_id", "pos", "reach"])
 
 
 def _contexts(batch, unit: Unit):
@@ -181,9 +195,10 @@ def _contexts(batch, unit: Unit):
             offsets = np.concatenate([[0], np.cumsum(y - x)]).astype(np.int32)
             who = doc[a + part]
             hot = n > unit.hot
-            salt = np.where(hot, tn.mix(who.view(np.uint64)) % ((n + unit.hot - 1) // unit.hot).astype(np.uint64), 0).astype(np.int32)
+            place = (v[a + part] << SHIFT) | at
+            salt = np.where(hot, tn.mix(tn.mix(who.view(np.uint64)) + place.view(np.uint64)) % ((n + unit.hot - 1) // unit.hot).astype(np.uint64), 0).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(salt), pa.array(hot), pa.array(who), pa.array((v[a + part] << 40) | at), pa.array((at - lo).astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(body)])],
+                [pa.array(h), pa.array(salt), pa.array(hot), pa.array(who), pa.array(place), pa.array((at - lo).astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(body)])],
                 ["h", "salt", "hot", "doc_id", "pos", "off", "body"],
             )
 

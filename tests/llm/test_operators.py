@@ -3,7 +3,6 @@
 import gzip
 import io
 import random
-import re
 import zlib
 
 import numpy as np
@@ -411,5 +410,12 @@ def test_awkward_pages_and_vectors(spark):
     assert ann.query(empty).collect() == []
 
 
-def test_positions_are_packed():
-    assert repeats.OFFSET == 2**40 - 1 and re.match("h long", repeats.CONTEXT)
+def test_many_texts_of_one_id(spark):
+    """Texts of one id (a null one) are numbered in their hash's order, whatever stretch of it they are in."""
+    rows = [(None, f"text {i % 300}") for i in range(600)] + [(7, "text 1"), (7, "b"), (8, "c"), (9, "c")]
+    found = repeats.with_owner(frame(spark, rows)).collect()
+    none = sorted((bytes(r.th), r.v) for r in found if r.doc_id > 9)
+    assert [v for _, v in none] == list(range(300))
+    assert sorted(r.v for r in found if r.doc_id == 7) == [0, 1]
+    assert {(r.doc_id, r.v, r.owner) for r in found if r.doc_id in (8, 9)} == {(8, 0, 8), (9, 0, 8)}
+    assert sum(r.owner == 7 for r in found if r.doc_id > 9) == 1
