@@ -9,9 +9,12 @@ Documents with equal shingle sets form one class. The sketches of classes are cu
 are candidates. At similarity 0.75, 32 bands of 4 coordinates all differ with probability 5e-6. A band's classes are not
 paired off: in each of some rounds they are compared with one class of theirs (the hub), links are confirmed on the
 full shingle sets, and components contracted, so most of a large group is one component after a round or two. What
-is then left in bands of several components is compared across components, a block of BLOCK classes with another in each task: by sketch first (a pair whose
-sketches agree by five standard deviations less than 0.75 is passed over), then by sets, the likeliest first, until a
-class is linked with a component. A pair that shares several bands is compared in the first.
+is then left in bands of several components is compared across components: by sketch first (a pair whose sketches agree
+by five standard deviations less than 0.75 is passed over), then by sets, the likeliest first, until a class is linked with
+a component. A pair that shares several bands is compared in the first. A band that is left with more than a block of
+BLOCK classes (or SHINGLES shingles) holds texts that are alike but mostly under the threshold; its classes are dealt
+anew by their rarest shingles, of which two linked sets share one among the first quarter (an exact prefix filter), so the
+pairs of a large band are not all compared. Groups of that deal over a block go in cells, a block with another in each.
 
 A null text, or one without words, has no shingles and no links. Rows that repeat a doc_id are each a row of the
 result; a null doc_id sorts last and is kept only if its component has no other id. Other columns are not read.
@@ -23,14 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from aerolith.llm import textnum as tn
-from aerolith.llm.common import LAST_ID, apart, back, bounded_batches, cut, order_id, original_id
+from aerolith.llm.common import LAST_ID, apart, back, bounded_batches, cut, drop, order_id, original_id
 
 WORDS, T, BAND, PERCENT, AT_ONCE = 5, 128, 4, 75, 1 << 20
 #: Sketches of a pair at the threshold agree in fewer coordinates than this once in three million times.
 AGREE = int(T * (PERCENT / 100 - 5 * (0.75 * 0.25 / T) ** 0.5))
-HUB_ROUNDS, BLOCK = 2, 2048
+#: Rounds of hubs; classes and shingles (8 bytes each) in a block of the last comparison.
+HUB_ROUNDS, BLOCK, SHINGLES = 2, 2048, 8 << 20
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -82,7 +87,7 @@ def _set_keys(bounds: np.ndarray, shingles: np.ndarray) -> np.ndarray:
 
 def _sketched(batches):
     for batch in batches:
-        ids = batch.column("doc_id")
+        ids, hashes = batch.column("doc_id"), batch.column("th")
         data, starts, ends = tn.utf8(batch.column("text"))
         for a, bounds, shingles in shingle_sets(data, starts, ends):
             n = np.diff(bounds)
@@ -91,7 +96,7 @@ def _sketched(batches):
             short = (tn.mix(rows) & tn.U64(0xFFFFFFFF)).astype(np.uint32)
             offsets = np.concatenate([[0], np.cumsum((n > 0) * 4 * T)]).astype(np.int32)
             sketch = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(short))])
-            yield pa.RecordBatch.from_arrays([ids.slice(a, len(n)), pa.array(n), pa.array(_set_keys(bounds, shingles)), sketch], ["doc_id", "n", "cls", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids.slice(a, len(n)), hashes.slice(a, len(n)), pa.array(n), pa.array(_set_keys(bounds, shingles)), sketch], ["doc_id", "th", "n", "cls", "sketch"])
 
 
 def _banded(batches):
@@ -160,28 +165,32 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     labels = nodes
     while True:
         a, b = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        across = cut(edges.join(a, "a").join(b, "b").where("ca <> cb").select(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).distinct(), "across")
-        if not across.take(1):
+        left = cut(edges.join(a, "a").join(b, "b").where("ca <> cb").select(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).distinct(), "across")
+        if not left.take(1):
+            drop(left)
             return labels
-        edges_left = across
         while True:
             # stars: all that a label's neighbours know is hung on the least of them
-            down = edges_left.groupBy("hi").agg(F.min("lo").alias("least"))
-            star = edges_left.join(down, "hi").select(F.col("least").alias("x"), F.col("lo").alias("y")).where("x <> y")
+            down = left.groupBy("hi").agg(F.min("lo").alias("least"))
+            star = left.join(down, "hi").select(F.col("least").alias("x"), F.col("lo").alias("y")).where("x <> y")
             more = star.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
             nxt = cut(down.select(F.col("least").alias("lo"), "hi").unionByName(more).distinct(), "stars")
-            if not nxt.groupBy("hi").count().where("count > 1").take(1):
+            drop(left)
+            left = nxt
+            if not left.groupBy("hi").count().where("count > 1").take(1):
                 break
-            edges_left = nxt
         # a forest now: each label points at one smaller one
-        forest = nxt.select(F.col("hi").alias("comp"), F.col("lo").alias("to"))
+        forest, table = left.select(F.col("hi").alias("comp"), F.col("lo").alias("to")), left
         while True:
             up = forest.select(F.col("comp").alias("to"), F.col("to").alias("further"))
             jumped = cut(forest.join(up, "to", "left").select("comp", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), "forest")
-            forest = jumped.select("comp", "to")
+            drop(table)
+            forest, table = jumped.select("comp", "to"), jumped
             if not jumped.where("moved").take(1):
                 break
-        labels = cut(labels.join(forest, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+        nxt = cut(labels.join(forest, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+        drop(labels, table)
+        labels = nxt
 
 
 def _across(batches):
@@ -206,7 +215,8 @@ def _across(batches):
             equal = those == rows[i]
             agree = equal.sum(axis=1)
             near = np.flatnonzero((agree >= AGREE) & (comp[here] != comp[i]))
-            near = near[equal[near].reshape(-1, T // BAND, BAND).all(axis=2).argmax(axis=1) == band[i]]
+            if band[i] >= 0:  # a pair that shares several bands is compared in the first
+                near = near[equal[near].reshape(-1, T // BAND, BAND).all(axis=2).argmax(axis=1) == band[i]]
             for j in here[near[np.argsort(-agree[near], kind="stable")]]:
                 x, y = find(int(comp[i])), find(int(comp[j]))
                 if x != y and similar(values[heads[i] : heads[i + 1]], values[heads[j] : heads[j + 1]]):
@@ -231,17 +241,61 @@ def _across(batches):
         yield from pairs(held)
 
 
+def _split(placed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """key, main (its largest component), and into how many blocks those beside it (across) and all (down) are dealt, of keys with several components.
+
+    placed: key, band, cls, comp; sizes: cls, n (shingles). A block has BLOCK classes and SHINGLES shingles, or a few more.
+    """
+    each = placed.join(sizes, "cls").groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n").alias("shingles"))
+    total = [F.sum("n").alias("all"), F.sum("shingles").alias("all_sh"), F.count("*").alias("comps")]
+    keys = each.groupBy("key").agg(F.max(F.struct("n", "comp", "shingles")).alias("most"), *total).where("comps > 1")
+    blocks = lambda n, sh: F.ceil(F.greatest(n / BLOCK, sh / SHINGLES)).cast("long")
+    across = blocks(F.col("all") - F.col("most.n"), F.col("all_sh") - F.col("most.shingles"))
+    return keys.select("key", F.col("most.comp").alias("main"), across.alias("across"), blocks(F.col("all"), F.col("all_sh")).alias("down"))
+
+
+def _cells(placed: DataFrame, split: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components of a key: a cell for each block that asks with each block that is held, so that no task holds more than two."""
+    left = placed.join(split, "key").withColumn("asking", F.col("comp") != F.col("main"))
+    left = left.withColumns({"i": F.pmod(F.xxhash64("cls"), "across"), "j": F.pmod(F.xxhash64("cls", F.lit(1)), "down")})
+    asked = F.when(F.col("asking"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("down") - 1), lambda j: F.col("i") * F.col("down") + j)).otherwise(F.array().cast("array<long>"))
+    held = F.transform(F.sequence(F.lit(0).cast("long"), F.col("across") - 1), lambda i: i * F.col("down") + F.col("j"))
+    cells = left.select("*", F.explode(F.array_union(asked, held)).alias("part"))
+    asks = F.col("asking") & (F.expr("part div down") == F.col("i"))
+    cells = cells.select("key", "part", "band", "cls", "comp", asks.alias("asks"), (F.col("part") % F.col("down") == F.col("j")).alias("held"))
+    parts = cells.join(wanted.select("cls", "sketch"), "cls").join(sets, "cls").select("key", "part", "band", "cls", "comp", "sketch", "shingles", "asks", "held")
+    return cut(parts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_across, "a long, b long").distinct(), "links")
+
+
+def _rare(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """key (a shingle), band (-1), cls, comp: of each class the rarest shingles, as many as it cannot lack all of in a set it is linked with.
+
+    Two sets at the threshold share at least that share of the larger one, so their shingles in any common order share one
+    among the first n - ceil(share n) + 1 of each; in the order of rarity few sets share those. Exact, whatever the sketches.
+    """
+    rows = cut(classes.join(sets, "cls").select("cls", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("key")), "shingles")
+    often = cut(rows.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    order = Window.partitionBy("cls").orderBy("often", "key")
+    ranked = rows.join(often, "key", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("at", F.row_number().over(order))
+    first = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).where("often > 1")
+    out = cut(first.select("key", F.lit(-1).cast("short").alias("band"), "cls", "comp"), "rare")
+    drop(rows, often)
+    return out
+
+
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n, cls of every row of docs; labels: node, comp of the classes that have a candidate)."""
     bounded_batches(docs.sparkSession)
-    texts = docs.select(order_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(texts.mapInArrow(_sketched, "doc_id long, n long, cls long, sketch binary"), "sketches")
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    text = F.col("text").cast("string")
+    texts = docs.select(order_id().alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    rows = cut(texts.mapInArrow(_sketched, "doc_id long, th long, n long, cls long, sketch binary"), "sketches")
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     banded = classes.select("cls", "sketch").mapInArrow(_banded, "key long, band short, cls long")
     full = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
     members = cut(banded.join(full, "key"), "members")
     wanted = cut(members.select("cls").distinct().join(classes, "cls"), "wanted")
-    owners = texts.join(wanted.select("cls", "doc_id"), "doc_id").select("cls", "text")
+    # by id and text: an id (a null one) of many rows meets only its own text's classes
+    owners = texts.join(wanted.select("cls", "at.doc_id", "at.th"), ["doc_id", "th"]).select("cls", "text")
     sets = cut(owners.mapInArrow(_with_sets, "cls long, shingles array<long>").dropDuplicates(["cls"]), "sets")
     labels = wanted.select(F.col("cls").alias("node"), F.col("cls").alias("comp"))
     for turn in range(HUB_ROUNDS):
@@ -251,26 +305,27 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         hubs = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(place.alias("p"), "cls", "comp")).alias("hub")).where("lo < hi")
         pairs = placed.join(hubs, "key").where("comp <> hub.comp").select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
         links = cut(_links(pairs, sets), "links")
-        if not links.take(1):
+        found = links.take(1)
+        if found:
+            labels = components(labels, links)
+        drop(links)
+        if not found:
             break
-        labels = components(labels, links)
+    sizes = wanted.select("cls", "n")
     placed = members.join(labels, members.cls == labels.node).select("key", "band", "cls", "comp")
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-    blocks = [F.ceil(F.col(n) / BLOCK).cast("long").alias(c) for n, c in (("asking", "across"), ("all", "down"))]
-    split = split.select("key", F.col("most.comp").alias("main"), (F.col("all") - F.col("most.n")).alias("asking"), "all").select("key", "main", *blocks)
-    left = placed.join(split, "key").withColumn("asking", F.col("comp") != F.col("main"))
-    left = left.withColumns({"i": F.pmod(F.xxhash64("cls"), "across"), "j": F.pmod(F.xxhash64("cls", F.lit(1)), "down")})
-    # a cell for each block that asks with each block that is held, so that no task holds more than two blocks
-    asked = F.when(F.col("asking"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("down") - 1), lambda j: F.col("i") * F.col("down") + j)).otherwise(F.array().cast("array<long>"))
-    held = F.transform(F.sequence(F.lit(0).cast("long"), F.col("across") - 1), lambda i: i * F.col("down") + F.col("j"))
-    cells = left.select("*", F.explode(F.array_union(asked, held)).alias("part"))
-    asks = F.col("asking") & (F.expr("part div down") == F.col("i"))
-    cells = cells.select("key", "part", "band", "cls", "comp", asks.alias("asks"), (F.col("part") % F.col("down") == F.col("j")).alias("held"))
-    parts = cells.join(wanted.select("cls", "sketch"), "cls").join(sets, "cls").select("key", "part", "band", "cls", "comp", "sketch", "shingles", "asks", "held")
-    links = cut(parts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_across, "a long, b long").distinct(), "links")
+    split = cut(_split(placed, sizes), "split")
+    found = [_cells(placed, split.where("across * down <= 1"), wanted, sets)]
+    if split.where("across * down > 1").take(1):
+        # what is left of a large band is alike but mostly under the threshold: its classes meet by their rarest shingles instead
+        classes = placed.join(split.where("across * down > 1").select("key"), "key").select("cls", "comp").distinct()
+        rare = _rare(classes, sets)
+        again = cut(_split(rare, sizes), "split")
+        found.append(_cells(rare, again, wanted, sets))
+        drop(rare, again)
+    links = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     if links.take(1):
         labels = components(labels, links)
+    drop(split, members, sets, *found)
     return rows.select("doc_id", "n", "cls"), labels
 
 
