@@ -42,36 +42,109 @@ def best_assignment(weight: np.ndarray) -> list[tuple[int, int]]:
     return [(int(owner[j]), j) for j in range(m) if owner[j] >= 0]
 
 
-def optimal_match(pred: np.ndarray, ref: np.ndarray, iou: np.ndarray) -> list[tuple[int, int, float]]:
-    """One-to-one pairs among valid edges: as many as possible, and of those the largest total IoU.
+def _first_of(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before it."""
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[:1] = True
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _numbered(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A number from 0 for each (group, id)."""
+    order = np.lexsort((ids, group))
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(_first_of(group[order], ids[order])) - 1
+    return out
+
+
+def _greatest(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    np.maximum.at(out, at, values)
+    return out
+
 
-    Components of the graph are solved one by one; both goals add up over them.
+def _stars(p: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of edges between numbered nodes: whether the left (or the right) node is the centre of a component in which one node touches all others."""
+    dp, dr = np.bincount(p), np.bincount(r)
+    left = _greatest(p, dr[r], len(dp))[p] == 1
+    return left, ~left & (_greatest(r, dp[p], len(dr))[r] == 1)
+
+
+def optimal_pairs(group: np.ndarray, pred: np.ndarray, ref: np.ndarray, iou: np.ndarray) -> np.ndarray:
+    """Which valid edges of many groups are one-to-one pairs: as many as possible in each group, and of those the largest total IoU.
+
+    Both goals add up over the components of the graph. One in which a node touches all others gives its best edge, all of
+    them at once; the others are solved one by one.
     """
     if not len(iou):
-        return []
-    ps, p = np.unique(pred, return_inverse=True)
-    rs, r = np.unique(ref, return_inverse=True)
-    label = np.arange(len(ps) + len(rs))
-    while True:
-        least = np.minimum(label[p], label[len(ps) + r])
-        new = label.copy()
-        np.minimum.at(new, p, least)
-        np.minimum.at(new, len(ps) + r, least)
-        if (new == label).all():
-            break
-        label = new
-    out = []
-    for c in np.unique(label[p]):
-        own = np.flatnonzero(label[p] == c)
-        a, x = np.unique(p[own], return_inverse=True)
-        b, y = np.unique(r[own], return_inverse=True)
-        weight = np.zeros((len(a), len(b)))
-        weight[x, y] = min(len(a), len(b)) + 1 + iou[own]  # a pair more outweighs any IoU
-        flip = len(a) > len(b)
-        for i, j in best_assignment(weight.T if flip else weight):
-            i, j = (j, i) if flip else (i, j)
-            if weight[i, j] > 0:
-                out.append((int(ps[a[i]]), int(rs[b[j]]), float(weight[i, j] - min(len(a), len(b)) - 1)))
+        return np.zeros(0, np.int64)
+    p, r = _numbered(group, pred), _numbered(group, ref)
+    left, right = _stars(p, r)
+    centre = np.where(left, p, len(iou) + r)
+    order = np.lexsort((ref, pred, -iou, centre))
+    order = order[(left | right)[order]]
+    out = [order[_first_of(centre[order])]]
+    rest = np.flatnonzero(~(left | right))
+    if len(rest):
+        p, r = (np.unique(x[rest], return_inverse=True)[1] for x in (p, r))
+        label = np.arange(p.max() + 1)
+        while True:  # the least left node of each component
+            by_ref = np.full(r.max() + 1, len(label))
+            np.minimum.at(by_ref, r, label[p])
+            new = label.copy()
+            np.minimum.at(new, p, by_ref[r])
+            if (new == label).all():
+                break
+            label = new
+        component = label[p]
+        order = np.argsort(component, kind="stable")
+        for own in np.split(order, np.flatnonzero(_first_of(component[order]))[1:]):
+            a, x = np.unique(p[own], return_inverse=True)
+            b, y = np.unique(r[own], return_inverse=True)
+            edge = np.full((len(a), len(b)), -1)
+            edge[x, y] = rest[own]
+            weight = np.zeros(edge.shape)
+            weight[x, y] = min(len(a), len(b)) + 1 + iou[rest[own]]  # a pair more outweighs any IoU
+            pairs = best_assignment(weight) if len(a) <= len(b) else [(i, j) for j, i in best_assignment(weight.T)]
+            out.append(np.array([edge[i, j] for i, j in pairs if edge[i, j] >= 0], np.int64))
+    return np.sort(np.concatenate(out))
+
+
+def optimal_match(pred: np.ndarray, ref: np.ndarray, iou: np.ndarray) -> list[tuple[int, int, float]]:
+    """The pairs of one group."""
+    own = optimal_pairs(np.zeros(len(iou), np.int64), pred, ref, iou)
+    return [(int(pred[i]), int(ref[i]), float(iou[i])) for i in own]
+
+
+def most_pairs(p: np.ndarray, r: np.ndarray, bin_of: np.ndarray, bins: int) -> np.ndarray:
+    """How many one-to-one pairs there are at most in each bin; p and r: the edges' numbered nodes, bin_of: each left node's bin."""
+    if not len(p):
+        return np.zeros(bins, np.int64)
+    left, right = _stars(p, r)
+    centres = np.unique(p[left])
+    out = np.bincount(bin_of[centres], minlength=bins)
+    _, at = np.unique(r[right], return_index=True)
+    out += np.bincount(bin_of[p[right][at]], minlength=bins)
+    rest = np.flatnonzero(~(left | right))
+    near: dict[int, list[int]] = {}
+    for x, y in zip(p[rest].tolist(), r[rest].tolist(), strict=True):
+        near.setdefault(x, []).append(y)
+    owner: dict[int, int] = {}
+
+    def placed(x: int, tried: set[int]) -> bool:
+        for y in near[x]:
+            if y not in tried:
+                tried.add(y)
+                if y not in owner or placed(owner[y], tried):
+                    owner[y] = x
+                    return True
+        return False
+
+    for x in near:
+        if placed(x, set()):
+            out[bin_of[x]] += 1
     return out
 
 
@@ -182,14 +255,22 @@ def degrade(image: np.ndarray, native: float, target: float, method: str = "area
         raise ValueError("uint8 only")
     if target <= native + 1e-9:
         return image.copy()
+    sides = [(n, target_pixels(n, native, target)) for n in image.shape[:2]]
+    down = [_average(n, m) if method == "area" else _interpolate(n, m, _linear, 1) @ _blur(n, blur * target / native) for n, m in sides]
+    return resized(_applied(image, *down), image.shape[:2], up)
+
+
+def _applied(image: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """An image times a matrix on either side, rounded to bytes as a stored image is."""
     data = image.astype(float)
-    out = []
-    for n in image.shape[:2]:
-        m = target_pixels(n, native, target)
-        down = _average(n, m) if method == "area" else _interpolate(n, m, _linear, 1) @ _blur(n, blur * target / native)
-        out.append((_interpolate(m, n, _cubic, 2) if up == "cubic" else _interpolate(m, n, _linear, 1)) @ down)
-    done = np.einsum("yi,xj,ijc->yxc", out[0], out[1], data if data.ndim == 3 else data[:, :, None], optimize=True)
-    return np.clip(np.rint(done), 0, 255).astype(np.uint8).reshape(image.shape)
+    done = np.einsum("yi,xj,ijc->yxc", rows, columns, data if data.ndim == 3 else data[:, :, None], optimize=True)
+    return np.clip(np.rint(done), 0, 255).astype(np.uint8).reshape(len(rows), len(columns), *image.shape[2:])
+
+
+def resized(image: np.ndarray, size: tuple[int, int], up: str = "cubic") -> np.ndarray:
+    """An image at another size, by bicubic or bilinear interpolation."""
+    kernel, reach = (_cubic, 2) if up == "cubic" else (_linear, 1)
+    return _applied(image, *(_interpolate(n, m, kernel, reach) for n, m in zip(image.shape[:2], size, strict=True)))
 
 
 def colour_mask(image: np.ndarray, red: int, over_green: int, over_blue: int) -> np.ndarray:

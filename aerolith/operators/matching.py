@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,19 +43,26 @@ def polygon_edges(candidates: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def matched_pairs(edge_rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """keys, cand_id, ref_id, iou of an optimal matching of each group (a chip's edges: a few thousand at most)."""
-
-    @F.pandas_udf(T.ArrayType(PAIR))
-    def solve(groups: pd.Series) -> pd.Series:
-        out = []
-        for g in groups:
-            found = kernels.optimal_match(np.array([e["cand_id"] for e in g]), np.array([e["ref_id"] for e in g]), np.array([e["iou"] for e in g]))
-            out.append([{"cand_id": a, "ref_id": b, "iou": c} for a, b, c in found])
-        return pd.Series(out)
+    """keys, cand_id, ref_id, iou of an optimal matching of each group (a chip's edges: a few thousand at most).
 
+    A batch's groups are solved together, on the list's own arrays.
+    """
     struct = F.struct(F.col("cand_id").cast("long").alias("cand_id"), F.col("ref_id").cast("long").alias("ref_id"), "iou")
-    groups = edge_rows.where(F.col("iou") >= threshold).groupBy(*keys).agg(F.sort_array(F.collect_list(struct)).alias("g"))
-    return groups.select(*keys, F.explode(solve("g")).alias("p")).select(*keys, "p.*")
+    groups = edge_rows.where(F.col("iou") >= threshold).groupBy(*keys).agg(F.collect_list(struct).alias("g"))
+
+    def solved(batches):
+        for batch in batches:
+            lists = batch.column("g")
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            values = lists.flatten()
+            fields = [values.field(i) for i in range(3)]
+            group = np.repeat(np.arange(batch.num_rows), sizes)
+            own = kernels.optimal_pairs(group, *(f.to_numpy(zero_copy_only=False) for f in fields))
+            at, pick = pa.array(group[own]), pa.array(own)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in keys], *[f.take(pick) for f in fields]], [*keys, "cand_id", "ref_id", "iou"])
+
+    schema = T.StructType([*[groups.schema[k] for k in keys], *PAIR.fields])
+    return groups.select(*keys, "g").mapInArrow(solved, schema)
 
 
 def star_pairs(edge_rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:

@@ -1,37 +1,22 @@
-"""Queries over the views, one or more for each operator; ORACLES has SQL for the same rows.
-
-SQL can match only components in which one box touches all others (matching.star_pairs), so queries with SQL that rest on
-matches leave out all others. Each has a twin, its name with _optimal added, that matches all components and has no SQL.
-"""
+"""Queries over the views, one or more for each operator; registry.ORACLES has SQL for the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.functions import boxes
 from aerolith.operators import baseline, bootstrap, curves, matching, metrics, raster, relational, sampling, selection, tuning
-from aerolith.plans.views import EXTENT, WITH, Views
+from aerolith.plans.registry import query
+from aerolith.plans.views import EXTENT, Views, edged, matched
 
 GROUP = ["chip_id", "level_id"]
-GRID = ({"first": [0], "pair": [0, 1]}, [0.1, 0.2, 0.4], [20.0, 30.0], [0.0])
+#: Prompt sets by name, thresholds, sizes, areas: 300 settings.
+PROMPTS = {"first": [0], "second": [1], "third": [2], "pair": [0, 1], "outer": [0, 2], "all": [0, 1, 2]}
+THRESHOLDS, SIZES, AREAS = [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7], [10.0, 15.0, 20.0, 25.0, 30.0], [0.0]
+#: The levels of the published sweep.
 LEVELS = [0.3, 0.45, 0.6, 0.9, 1.2, 1.8, 2.4, 3.6, 5.0, 10.0]
-N_BOOT, SEED = 200, 7
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None, twin: bool = False):
-    """Registers a function of the views as a query, with SQL (after the views' own) that gives its rows, and its twin."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
-        if twin:
-            QUERIES[f.__name__ + "_optimal"] = lambda spark, sf_dir: f(Views(spark, sf_dir, optimal=True))
-        if sql is not None:
-            ORACLES[f.__name__] = sql if sql.startswith("--") else WITH + sql
-        return f
-
-    return add
+N_BOOT, SEED, CHANCE_REPS, ORACLE_REPS = 2000, 7, 20, 10
 
 
 def kept(v: Views) -> DataFrame:
@@ -47,13 +32,12 @@ def spine(v: Views) -> DataFrame:
     return v.chips.crossJoin(F.broadcast(levels))  # seven levels
 
 
-def pairs(v: Views, edge_rows: DataFrame, keys: list[str], threshold: float = 0.25) -> DataFrame:
-    return (matching.matched_pairs if v.optimal else matching.star_pairs)(edge_rows, keys, threshold)
+def pairs(v: Views, threshold: float = 0.25) -> DataFrame:
+    return matching.matched_pairs(edges(v), GROUP, threshold)
 
 
-def counts(v: Views, optimal: bool = False) -> DataFrame:
-    found = matching.matched_pairs(edges(v), GROUP, 0.25) if optimal else pairs(v, edges(v), GROUP)
-    return matching.counts(spine(v), kept(v), v.refs, found, GROUP)
+def counts(v: Views) -> DataFrame:
+    return matching.counts(spine(v), kept(v), v.refs, pairs(v), GROUP)
 
 
 def curve(v: Views, keys: list[str]) -> DataFrame:
@@ -79,11 +63,13 @@ def q_iou_edges(v):
     return edges(v).select(*GROUP, "cand_id", "ref_id", "iou")
 
 
-@query()
+@query("""select level_id, level, cast(sum(matches) as bigint) as matches, cast(sum(predictions) as bigint) as predictions, cast(sum("references") as bigint) as "references", round(sum(total_iou), 6) as total_iou,
+round(100.0 * sum(matches)::double / nullif(sum(predictions), 0), 9) as "precision", round(100.0 * sum(matches)::double / nullif(sum("references"), 0), 9) as recall,
+round(200.0 * sum(matches)::double / nullif(sum(predictions) + sum("references"), 0), 9) as f1 from counts group by 1, 2""")
 def q_match_counts(v):
-    """Optimal matching: no SQL has it; tests hold it against all matchings of small groups and published counts."""
-    rows = counts(v, optimal=True).groupBy("level_id", "level").agg(*[F.sum(c).alias(c) for c in ("matches", "predictions", "references")], F.round(F.sum("total_iou"), 6).alias("total_iou"))
-    return rows.withColumns(metrics.prf(F.col("matches"), F.col("predictions"), F.col("references")))
+    rows = counts(v).groupBy("level_id", "level").agg(*[F.sum(c).alias(c) for c in ("matches", "predictions", "references")], F.round(F.sum("total_iou"), 6).alias("total_iou"))
+    rows = rows.withColumns(metrics.prf(F.col("matches"), F.col("predictions"), F.col("references")))
+    return rows.select("level_id", "level", "matches", "predictions", "references", "total_iou", *r9("precision", "recall", "f1"))
 
 
 @query("select chip_id, level_id, cand_id, ref_id, iou from pairs")
@@ -93,65 +79,67 @@ def q_match_single_star(v):
 
 @query("""select level, cast(sum(matches) as bigint) as matches, cast(sum(predictions) as bigint) as predictions, cast(sum("references") as bigint) as "references",
 round(100.0 * sum(matches)::double / nullif(sum(predictions), 0), 9) as "precision", round(100.0 * sum(matches)::double / nullif(sum("references"), 0), 9) as recall,
-round(200.0 * sum(matches)::double / nullif(sum(predictions) + sum("references"), 0), 9) as f1 from counts group by 1""", twin=True)
+round(200.0 * sum(matches)::double / nullif(sum(predictions) + sum("references"), 0), 9) as f1 from counts group by 1""")
 def q_pooled_prf(v):
     return metrics.pooled(counts(v), ["level"]).select("level", "matches", "predictions", "references", *r9("precision", "recall", "f1"))
 
 
-_grid = """, grid as (select pr.name || '|t' || th.t::varchar || '|max' || mx.m::int::varchar || '|min0' as config, pr.name, th.t::double as t, mx.m::double as m
-  from (values ('first'), ('pair')) pr(name), (values (0.1), (0.2), (0.4)) th(t), (values (20), (30)) mx(m)),
-chosen as (select g.config, c.* from clipped c join grid g on (case when g.name = 'first' then s0 else greatest(s0, s1) end) >= g.t and x1 - x0 <= g.m and y1 - y0 <= g.m) """
-_tuned = _grid + """, alledges as (select * from (select k.config, k.chip_id, k.level_id, k.level, k.cand_id, r.ref_id,
-  (least(k.x1, r.x1)-greatest(k.x0, r.x0))*(least(k.y1, r.y1)-greatest(k.y0, r.y0)) / nullif((k.x1-k.x0)*(k.y1-k.y0) + (r.x1-r.x0)*(r.y1-r.y0)
-    - (least(k.x1, r.x1)-greatest(k.x0, r.x0))*(least(k.y1, r.y1)-greatest(k.y0, r.y0)), 0) as iou
-  from chosen k join refs r on k.chip_id = r.chip_id and k.x0 < r.x1 and r.x0 < k.x1 and k.y0 < r.y1 and r.y0 < k.y1) t where iou >= cast(0.25 as double)),
-d2 as (select *, count(*) over (partition by config, chip_id, level_id, cand_id) as dc, count(*) over (partition by config, chip_id, level_id, ref_id) as dr from alledges),
-s2 as (select *, max(dr) over (partition by config, chip_id, level_id, cand_id) as mc, max(dc) over (partition by config, chip_id, level_id, ref_id) as mr from d2),
-m2 as (select config, level, count(distinct (chip_id, level_id, case when mc = 1 then 0 else 1 end, case when mc = 1 then cand_id else ref_id end)) as m from s2 where mc = 1 or mr = 1 group by 1, 2),
+_score = "case pr.name when 'first' then s0 when 'second' then s1 when 'third' then s2 when 'pair' then greatest(s0, s1) when 'outer' then greatest(s0, s2) else greatest(s0, s1, s2) end"
+_values = lambda xs: ", ".join(f"({x})" for x in xs)
+_grid = f""", grid as (select pr.name || '|t' || th.t::double::varchar || '|max' || mx.m::int::varchar || '|min0' as config, pr.name, th.t::double as t, mx.m::double as m
+  from (values {_values([f"'{p}'" for p in PROMPTS])}) pr(name), (values {_values(THRESHOLDS)}) th(t), (values {_values(SIZES)}) mx(m)),
+chosen as (select pr.config, c.* from clipped c join grid pr on {_score} >= pr.t and x1 - x0 <= pr.m and y1 - y0 <= pr.m) """
+_tuned = _grid + ", alledges as materialized " + edged("clipped", "k.chip_id, k.level_id, k.level", 0.25) + """,
+chosenedges as (select c.config, e.* from alledges e join chosen c on c.chip_id = e.chip_id and c.level_id = e.level_id and c.cand_id = e.cand_id),
+""" + matched("tm", "chosenedges", ["config", "chip_id", "level_id"]) + """,
+m2 as (select config, level, sum(n) as m from tm join levels using (level_id) group by 1, 2),
 p2 as (select config, level, count(*) as p from chosen group by 1, 2),
-tuned as (select g.config, l.level, round(200.0 * coalesce(m2.m, 0)::double / nullif(coalesce(p2.p, 0) + (select count(*) from refs join chips using (chip_id)), 0), 9) as f1
+tuned as materialized (select g.config, l.level, round(200.0 * coalesce(m2.m, 0)::double / nullif(coalesce(p2.p, 0) + (select count(*) from refs join chips using (chip_id)), 0), 9) as f1
   from grid g cross join levels l left join m2 on m2.config = g.config and m2.level = l.level left join p2 on p2.config = g.config and p2.level = l.level),
 ranked as (select *, row_number() over (order by mean_f1 desc, config) as place from (select config, round(avg(f1), 9) as mean_f1 from tuned group by 1) t) """
 
 
+def settings() -> list[tuple]:
+    return selection.settings(PROMPTS, THRESHOLDS, SIZES, AREAS)
+
+
 def tuned(v: Views) -> DataFrame:
-    """config, level, f1 of a grid; edges are found once, for the loosest setting, and serve all."""
-    grid = selection.grid(v.spark, *GRID)
-    chosen = selection.select_boxes(v.cands, grid, EXTENT).select("config", *GROUP, "level", "cand_id")
-    found = matching.edges(selection.clip(v.cands, EXTENT).select(*GROUP, "cand_id", "x0", "y0", "x1", "y1"), v.refs).select(*GROUP, "cand_id", "ref_id", "iou")
-    matched = pairs(v, chosen.join(found.where("iou >= 0.25D"), [*GROUP, "cand_id"]), ["config", *GROUP, "level"])
-    p = chosen.groupBy("config", "level").agg(F.count("*").alias("predictions"))
-    m = matched.groupBy("config", "level").agg(F.count("*").alias("matches"))
-    r = v.refs.join(v.chips, "chip_id", "left_semi").agg(F.count("*").alias("references"))
-    levels = v.cands.select("level").distinct()
-    rows = levels.crossJoin(F.broadcast(grid.select("config"))).crossJoin(F.broadcast(r))  # levels, settings, one row
-    rows = rows.join(p, ["config", "level"], "left").join(m, ["config", "level"], "left").fillna(0, ["predictions", "matches"])
-    f1 = metrics.prf(F.col("matches"), F.col("predictions"), F.col("references"))["f1"]
-    return rows.select("config", "level", F.round(f1, 9).alias("f1"))
+    """config, level, f1 of the grid."""
+    swept = tuning.sweep(v.cands, v.refs, settings(), EXTENT, ["level"], GROUP)
+    references = v.refs.join(v.chips, "chip_id", "left_semi").agg(F.count("*").alias("references"))
+    spine = v.cands.select("level").distinct().crossJoin(F.broadcast(selection.grid(v.spark, PROMPTS, THRESHOLDS, SIZES, AREAS).select("config")))  # levels, settings
+    return tuning.table(swept, spine, references, ["level"]).select("config", "level", "f1")
 
 
 @query(_grid + "select config, level_id, count(*) as kept from chosen group by 1, 2")
 def q_grid_sweep(v):
-    rows = selection.select_boxes(v.cands, selection.grid(v.spark, *GRID), EXTENT)
-    return rows.groupBy("config", "level_id").agg(F.count("*").alias("kept"))
+    return tuning.kept_counts(v.cands, settings(), EXTENT, ["level_id"]).withColumnRenamed("predictions", "kept")
 
 
-@query(_tuned + "select config, mean_f1 from ranked where place = 1", twin=True)
+@query(_grid.replace("grid as", "grid as materialized") + "select config, chip_id, level_id, cand_id from chosen where config in ('pair|t0.2|max30|min0', 'all|t0.5|max15|min0')")
+def q_grid_boxes(v):
+    """Whole boxes of two settings at once: candidates crossed with settings."""
+    wanted = [c for c in settings() if c[0] in ("pair|t0.2|max30|min0", "all|t0.5|max15|min0")]
+    configs = v.spark.createDataFrame(wanted, selection.CONFIG).coalesce(1)
+    return selection.select_boxes(v.cands, configs, EXTENT).select("config", *GROUP, "cand_id")
+
+
+@query(_tuned + "select config, mean_f1 from ranked where place = 1")
 def q_freeze_fixed(v):
     return tuning.best(tuned(v)).select("config", "mean_f1")
 
 
-@query(_tuned + "select config, mean_f1, place from ranked where place between 2 and 5", twin=True)
+@query(_tuned + "select config, mean_f1, place from ranked where place between 2 and 5")
 def q_runner_up(v):
     return tuning.runners_up(tuned(v)).select("config", "mean_f1", F.col("place").cast("long").alias("place"))
 
 
-@query(_tuned + "select level, config, f1 from (select *, row_number() over (partition by level order by f1 desc nulls last, config) as rn from tuned) t where rn = 1", twin=True)
+@query(_tuned + "select level, config, f1 from (select *, row_number() over (partition by level order by f1 desc nulls last, config) as rn from tuned) t where rn = 1")
 def q_freeze_per_level(v):
     return tuning.best_by_level(tuned(v)).select("level", "config", "f1")
 
 
-@query(_tuned + "select config, level, f1 from tuned where level = (select min(level) from tuned)", twin=True)
+@query(_tuned + "select config, level, f1 from tuned where level = (select min(level) from tuned)")
 def q_native_level(v):
     return tuning.at_finest(tuned(v)).select("config", "level", "f1")
 
@@ -159,28 +147,30 @@ def q_native_level(v):
 _city = """, series as (select city, level, 200.0 * sum(matches)::double / nullif(sum(predictions) + sum("references"), 0) as f1 from counts group by 1, 2)"""
 
 
-def _break_sql(order: str, keys: str, source: str) -> str:
-    return f""", b0 as (select *, row_number() over (partition by {keys} order by {order}) as rk from {source}),
-b1 as (select *, max(case when rk = 1 then level end) over (partition by {keys}) as l0, max(case when rk = 1 then f1 end) over (partition by {keys}) as f0 from b0),
-b2 as (select *, case when f0 > 0 then f1 / f0 end as s from b1),
-b3 as (select *, lag(s) over (partition by {keys} order by level) as s0, lag(level) over (partition by {keys} order by level) as g0 from b2),
-b4 as (select *, row_number() over (partition by {keys} order by level) as n from b3 where level > l0 and s <= 0.5),
-breaks as (select k.*, case when b.level is not null then pow(10.0::double, log10(g0) + (case when s0 = s then 0 else (s0 - 0.5::double) / nullif(s0 - s, 0) end) * (log10(b.level) - log10(g0))) end as break_point
-  from (select distinct {keys} from {source}) k left join b4 b on n = 1 and {' and '.join(f'k.{c.strip()} = b.{c.strip()}' for c in keys.split(','))}) """
+def _break_sql(reference: str, keys: str, source: str, name: str = "breaks", floor: str = "0::double") -> str:
+    order = "f1 - floor desc nulls last, level" if reference == "peak" else "level"
+    ks = [c.strip() for c in keys.split(",")]
+    return f""", {name}_0 as (select *, row_number() over (partition by {keys} order by {order}) as rk from (select *, f1 - floor as above from (select *, {floor} as floor from {source}) f) g),
+{name}_1 as (select *, max(case when rk = 1 then level end) over (partition by {keys}) as l0, max(case when rk = 1 then above end) over (partition by {keys}) as a0, max(case when rk = 1 then f1 end) over (partition by {keys}) as f0 from {name}_0),
+{name}_2 as (select *, case when f0 > 0 and a0 > 0 then above / a0 end as s from {name}_1),
+{name}_3 as (select *, lag(s) over (partition by {keys} order by level) as s0, lag(level) over (partition by {keys} order by level) as g0 from {name}_2),
+{name}_4 as (select *, row_number() over (partition by {keys} order by level) as n from {name}_3 where level > l0 and s <= 0.5),
+{name} as (select k.*, case when b.level is not null then pow(10.0::double, log10(g0) + (case when s0 = s then 0 else (s0 - 0.5::double) / nullif(s0 - s, 0) end) * (log10(b.level) - log10(g0))) end as break_point
+  from (select distinct {keys} from {source}) k left join {name}_4 b on n = 1 and {' and '.join(f'k.{c} = b.{c}' for c in ks)}) """
 
 
-@query(_city + _break_sql("f1 desc nulls last, level", "city", "series") + "select city, round(break_point, 6) as break_point from breaks", twin=True)
+@query(_city + _break_sql("peak", "city", "series") + "select city, round(break_point, 6) as break_point from breaks")
 def q_break_point(v):
     return curves.break_point(curve(v, ["city"]), ["city"]).select("city", F.round("break_point", 6).alias("break_point"))
 
 
-@query(_city + _break_sql("level", "city", "series") + "select city, round(break_point, 6) as break_point from breaks", twin=True)
+@query(_city + _break_sql("finest", "city", "series") + "select city, round(break_point, 6) as break_point from breaks")
 def q_break_point_finest(v):
     return curves.break_point(curve(v, ["city"]), ["city"], reference="finest").select("city", F.round("break_point", 6).alias("break_point"))
 
 
 @query(_city + """, p as (select *, row_number() over (partition by city order by f1 desc nulls last, level) as a, row_number() over (partition by city order by f1 - 9 * level desc nulls last, level) as b from series)
-select city, max(case when a = 1 then level end) as peak_level, round(max(case when a = 1 then f1 end), 9) as peak_f1, max(case when b = 1 then level end) as peak_above_level from p group by 1""", twin=True)
+select city, max(case when a = 1 then level end) as peak_level, round(max(case when a = 1 then f1 end), 9) as peak_f1, max(case when b = 1 then level end) as peak_above_level from p group by 1""")
 def q_peak_fields(v):
     rows = curves.peaks(curve(v, ["city"]).withColumn("floor", 9 * F.col("level")), ["city"])
     return rows.select("city", "peak_level", *r9("peak_f1"), "peak_above_level")
@@ -189,7 +179,7 @@ def q_peak_fields(v):
 _sums = ', sums as (select block, level, sum(matches) as matches, sum(predictions) as predictions, sum("references") as refs from counts group by 1, 2)'
 
 
-@query(_sums + 'select block, level, cast(matches as bigint) as matches, cast(predictions as bigint) as predictions, cast(refs as bigint) as "references" from sums', twin=True)
+@query(_sums + 'select block, level, cast(matches as bigint) as matches, cast(predictions as bigint) as predictions, cast(refs as bigint) as "references" from sums')
 def q_block_sums(v):
     return bootstrap.block_sums(counts(v), ["level"]).select("block", "level", "matches", "predictions", "references")
 
@@ -204,32 +194,25 @@ def replicates(v: Views) -> DataFrame:
     return bootstrap.replicates(sums, bootstrap.draws(v.chips, N_BOOT), ["level"])
 
 
-@query(_reps + "select level, round(quantile_cont(f1, 0.025), 6) as lo, round(quantile_cont(f1, 0.975), 6) as hi from reps group by 1", twin=True)
+@query(_reps + "select level, round(quantile_cont(f1, 0.025), 6) as lo, round(quantile_cont(f1, 0.975), 6) as hi from reps group by 1")
 def q_bootstrap_ci(v):
     rows = bootstrap.interval(replicates(v), ["level"])
     return rows.select("level", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-@query(_reps + _break_sql("f1 desc nulls last, level", "boot_id", "reps") + "select round(quantile_cont(break_point, 0.025), 6) as lo, round(quantile_cont(break_point, 0.975), 6) as hi, count(break_point) / count(*)::double as found from breaks", twin=True)
+@query(_reps + _break_sql("peak", "boot_id", "reps") + "select round(quantile_cont(break_point, 0.025), 6) as lo, round(quantile_cont(break_point, 0.975), 6) as hi, count(break_point) / count(*)::double as found from breaks")
 def q_bootstrap_break_ci(v):
     rows = curves.break_point(replicates(v).withColumn("floor", F.lit(None).cast("double")), ["boot_id"])
     out = bootstrap.interval(rows, [], "break_point")
     return out.select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "found")
 
 
-@query(_reps + ", c as (select level, 5.0::double * level as chance_f1 from levels) select c.level, coalesce(q.lo > c.chance_f1, false) as above_chance from c left join (select level, quantile_cont(f1, 0.025) as lo from reps group by 1) q on q.level = c.level", twin=True)
-def q_above_chance(v):
-    chance = v.cands.select("level").distinct().withColumn("chance_f1", 5.0 * F.col("level"))
-    return curves.above_chance(replicates(v), chance, ["level"])
-
-
-@query(_reps.replace(_sums, """, half as (select chip_id, level_id, count(*) as m5 from pairs where iou >= 0.5 group by 1, 2),
-sums as (select block, level, sum(matches) as matches, coalesce(sum(m5), 0) as m5, sum(predictions) as predictions, sum("references") as refs from counts left join half using (chip_id, level_id) group by 1, 2)""").replace("as f1 from drawn", "as fa, 200.0 * sum(times * m5)::double / nullif(sum(times * (predictions + refs)), 0) as fb from drawn")
-+ " select level, round(quantile_cont(fa - fb, 0.025), 6) as lo, round(quantile_cont(fa - fb, 0.975), 6) as hi from reps group by 1", twin=True)
+@query(_reps.replace(_sums, ", strict as (select * from edges where iou >= cast(0.5 as double)), " + matched("half", "strict", GROUP) + """,
+sums as (select block, level, sum(matches) as matches, coalesce(sum(half.n), 0) as m5, sum(predictions) as predictions, sum("references") as refs from counts left join half using (chip_id, level_id) group by 1, 2)""").replace("as f1 from drawn", "as fa, 200.0 * sum(times * m5)::double / nullif(sum(times * (predictions + refs)), 0) as fb from drawn")
++ " select level, round(quantile_cont(fa - fb, 0.025), 6) as lo, round(quantile_cont(fa - fb, 0.975), 6) as hi from reps group by 1")
 def q_paired_diff(v):
-    """F1 at IoU 0.25 less F1 at 0.5, on shared resamples; the twin matches again at 0.5."""
-    strict = pairs(v, edges(v), GROUP, 0.5) if v.optimal else pairs(v, edges(v), GROUP).where("iou >= 0.5D")
-    strict = strict.groupBy(*GROUP).agg(F.count("*").alias("m5"))
+    """F1 at IoU 0.25 less F1 at 0.5 (matched again), on shared resamples."""
+    strict = pairs(v, 0.5).groupBy(*GROUP).agg(F.count("*").alias("m5"))
     rows = counts(v).join(strict, GROUP, "left").fillna(0, ["m5"])
     sums = bootstrap.block_sums(rows, ["level"], [*bootstrap.COUNTS, "m5"])
     reps = bootstrap.paired(sums, bootstrap.draws(v.chips, N_BOOT), ["level"], bootstrap.COUNTS, ["m5", "predictions", "references"])
@@ -259,30 +242,72 @@ def q_oracle_relocate(v):
     return rows.select(*GROUP, "cand_id", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+_box = "greatest(0::double, least({}, 195::double)) as {}"
+_chance = f""", moved as (select chip_id, level_id, level, cand_id, rep, {', '.join(_box.format(e, n) for e, n in (('nx', 'x0'), ('ny', 'y0'), ('nx + w', 'x1'), ('ny + h', 'y1')))}
+  from (select *, x1 - x0 as w, y1 - y0 as h, {_u.format('x')} * greatest(0.0::double, 195.0::double - (x1 - x0)) as nx, {_u.format('y')} * greatest(0.0::double, 195.0::double - (y1 - y0)) as ny from kept, range({CHANCE_REPS}) t(rep)) q),
+movededges as """ + edged("moved", "k.chip_id, k.level_id, k.rep", 0.25) + ", " + matched("cm", "movededges", [*GROUP, "rep"]) + f""",
+chance as (select l.level, coalesce(sum(n), 0) / {CHANCE_REPS}.0::double as chance_matches from levels l left join cm using (level_id) group by 1) """
+
+
 def _null_matches(v: Views, moved: DataFrame, n_rep: int) -> DataFrame:
     rows = selection.clip(moved, EXTENT).select(*GROUP, "rep", "cand_id", "x0", "y0", "x1", "y1")
-    pairs = matching.matched_pairs(matching.edges(rows, v.refs), [*GROUP, "rep"], 0.25)
-    found = baseline.chance_matches(pairs, spine(v), GROUP, n_rep)
+    found = matching.matched_pairs(matching.edges(rows, v.refs), [*GROUP, "rep"], 0.25)
+    return baseline.chance_matches(found, spine(v), GROUP, n_rep)
+
+
+def chance(v: Views) -> DataFrame:
+    moved = baseline.relocate_uniform(baseline.repeated(kept(v), CHANCE_REPS), EXTENT, [*GROUP, "cand_id", "rep"])
+    return _null_matches(v, moved, CHANCE_REPS)
+
+
+def by_level(found: DataFrame) -> DataFrame:
     return found.groupBy("level").agg(F.round(F.sum("chance_matches"), 6).alias("chance_matches"))
 
 
-@query()
+@query(_chance + "select level, round(chance_matches, 6) as chance_matches from chance")
 def q_chance_matches(v):
-    """Mean optimal matches of evenly relocated boxes; no SQL has the matching."""
-    return _null_matches(v, baseline.relocate_uniform(baseline.repeated(kept(v), 20), EXTENT, [*GROUP, "cand_id", "rep"]), 20)
+    """Mean matches of evenly relocated boxes."""
+    return by_level(chance(v))
 
 
-@query()
+@query(_reps + _chance + """, c as (select level, 200.0 * any_value(chance_matches) / nullif(sum(predictions) + sum("references"), 0) as chance_f1 from counts join chance using (level) group by 1)
+select c.level, round(chance_f1, 6) as chance_f1, coalesce(q.lo > c.chance_f1, false) as above_chance from c left join (select level, quantile_cont(f1, 0.025) as lo from reps group by 1) q on q.level = c.level""")
+def q_above_chance(v):
+    rows = counts(v).join(chance(v).select(*GROUP, "chance_matches"), GROUP)
+    floor = metrics.pooled(rows, ["level"], "chance_matches").select("level", "chance_f1")
+    return curves.above_chance(replicates(v), floor, ["level"]).join(floor, "level").select("level", F.round("chance_f1", 6).alias("chance_f1"), "above_chance")
+
+
+def _oracle_sql(group: str, reps: int, kept: str = "kept") -> str:
+    """SQL of boxes put on references as baseline.relocate_to_refs puts them; group: what the boxes of a draw share."""
+    text = " || '|' || ".join(f"{c.strip()}::varchar" for c in f"{group}, cand_id".split(","))
+    return f""", spots as (select chip_id, row_number() over (partition by chip_id order by md5(chip_id::varchar || '|' || ref_id::varchar), ref_id) as spot, count(*) over (partition by chip_id) as spots, (x0 + x1) / 2 as cx, (y0 + y1) / 2 as cy from refs),
+drawnboxes as (select *, md5({text}) as draw from (select {kept}.*, rep from {kept}, range({reps}) t(rep)) k),
+placed as (select b.*, s.spots, row_number() over (partition by {', '.join('b.' + c.strip() for c in group.split(','))} order by draw, cand_id) as i from drawnboxes b join (select distinct chip_id, spots from spots) s on s.chip_id = b.chip_id),
+spotted as (select *, case when i <= spots then i else cast('0x' || substr(draw, 1, 8) as bigint) % spots + 1 end as spot from placed),
+onrefs as (select p.* exclude (x0, y0, x1, y1), {', '.join(_box.format(e, n) for e, n in (('cx - (x1 - x0) / 2', 'x0'), ('cy - (y1 - y0) / 2', 'y0'), ('cx - (x1 - x0) / 2 + (x1 - x0)', 'x1'), ('cy - (y1 - y0) / 2 + (y1 - y0)', 'y1')))}
+  from spotted p join spots s on s.chip_id = p.chip_id and s.spot = p.spot),
+oracleboxes as (select * from onrefs where x1 > x0 and y1 > y0) """
+
+
+@query(_oracle_sql("chip_id, level_id, rep", ORACLE_REPS) + ", oe as " + edged("oracleboxes", "k.chip_id, k.level_id, k.rep", 0.25) + ", " + matched("om", "oe", [*GROUP, "rep"])
++ f" select l.level, round(coalesce(sum(n), 0) / {ORACLE_REPS}.0::double, 6) as chance_matches from levels l left join om using (level_id) group by 1")
 def q_oracle_matches(v):
     """The same of boxes centred on references."""
-    return _null_matches(v, baseline.relocate_to_refs(baseline.repeated(kept(v), 10), v.refs, [*GROUP, "rep"], ["cand_id"]), 10)
+    moved = baseline.relocate_to_refs(baseline.repeated(kept(v), ORACLE_REPS), v.refs, [*GROUP, "rep"], ["cand_id"])
+    return by_level(_null_matches(v, moved, ORACLE_REPS))
 
 
-@query()
+_crc = """, bit8 as (select i, c, 0 as step from (select i, i::ubigint as c from range(256) t(i)) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, step + 1 from bit8 where step < 8),
+crc as (select list(c order by i) as tab from bit8 where step = 8) """
+_crc32 = "cast(xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split({0}, ''), lambda ch: ord(ch)::ubigint)), lambda acc, b: xor(acc >> 8, tab[cast(xor(acc, b) & 255 as bigint) + 1])), 4294967295::ubigint) as bigint)"
+
+
+@query(_crc + f", s as (select chip_id, level, 'colour' as detector, chip_id::varchar || '|' || level::varchar as stem from chips cross join levels) select chip_id, level, {_crc32.format("stem || '|0.25'")} as seed, {_crc32.format("stem || '|colour'")} as oracle_seed from s, crc")
 def q_seeds(v):
-    """The published seeds of relocations: crc32 of chip, level and IoU."""
-    rows = spine(v).select("chip_id", "level")
-    return rows.select("chip_id", "level", baseline.seed(F.col("chip_id").cast("string"), F.col("level").cast("string"), F.lit("0.25")).alias("seed"))
+    """The published seeds of relocations: crc32 of chip, level and IoU, and for the oracle of chip, level and detector."""
+    part = lambda *last: baseline.seed(F.col("chip_id").cast("string"), F.col("level").cast("string"), *map(F.lit, last))
+    return spine(v).select("chip_id", "level", part("0.25").alias("seed"), part("colour").alias("oracle_seed"))
 
 
 @query(f"""
@@ -324,7 +349,7 @@ def q_size_terciles(v):
     return rows.groupBy("size_group").agg(F.count("*").alias("chips"), F.round(F.percentile("side", F.lit(0.5)), 9).alias("median_side"))
 
 
-@query(_terciles + """ select size_group, level, round(200.0 * sum(matches)::double / nullif(sum(predictions) + sum("references"), 0), 9) as f1, count(distinct chip_id) as chips from counts join grouped using (chip_id) group by 1, 2""", twin=True)
+@query(_terciles + """ select size_group, level, round(200.0 * sum(matches)::double / nullif(sum(predictions) + sum("references"), 0), 9) as f1, count(distinct chip_id) as chips from counts join grouped using (chip_id) group by 1, 2""")
 def q_size_curves(v):
     rows = counts(v).join(sampling.terciles(chip_sizes(v), "side").select("chip_id", "size_group"), "chip_id")
     n = rows.groupBy("size_group", "level").agg(F.count_distinct("chip_id").alias("chips"))
@@ -338,18 +363,29 @@ def q_city_sizes(v):
     return rows.select("city", "buildings", "empty_chips", *r9("p25", "median", "p75", "share_small"))
 
 
-@query(_city + """ select city, round(max(case when level = 0.9 then f1 end), 9) as f1_0_9, round(max(case when level = 2.4 then f1 end), 9) as f1_2_4, round(max(case when level = 5.0 then f1 end), 9) as f1_5_0 from series group by 1""", twin=True)
+@query(_city + """ select city, round(max(case when level = 0.9 then f1 end), 9) as f1_0_9, round(max(case when level = 2.4 then f1 end), 9) as f1_2_4, round(max(case when level = 5.0 then f1 end), 9) as f1_5_0 from series group by 1""")
 def q_per_city_curve(v):
     rows = curve(v, ["city"])
     at = lambda x: F.round(F.max(F.when(F.col("level") == x, F.col("f1"))), 9)
     return rows.groupBy("city").agg(at(0.9).alias("f1_0_9"), at(2.4).alias("f1_2_4"), at(5.0).alias("f1_5_0"))
 
 
-@query(_sized + """, a as (select r.chip_id, ref_id, (x1 - x0) * (y1 - y0) as area from refs r), m as (select p.level_id, a.area from pairs p join a using (chip_id, ref_id))
-select level_id, count(*) as matched, round(quantile_cont(area, 0.5), 6) as median_area, round(avg(area), 6) as mean_area, round(avg(case when area > 300 then 1.0::double else 0.0::double end), 9) as share_large from m group by 1""", twin=True)
+@query(_sized + """, p as (select level_id, count(*) as predictions, round(quantile_cont((x1 - x0) * (y1 - y0), 0.5), 6) as median_predicted from kept group by 1)
+select level_id, predictions, median_predicted, cast(sum(n) as bigint) as matched, (select round(quantile_cont(area, 0.5), 6) from sized) as median_all, (select round(avg(area), 6) from sized) as mean_all,
+(select round(avg(case when area > 300 then 1.0::double else 0.0::double end), 9) from sized) as large_all from p join found using (level_id) group by all""")
+def q_coarse_sizes(v):
+    """At each level predictions, their median area and matches; areas of all references."""
+    own = kept(v).withColumn("area", boxes.area(*boxes.box())).groupBy("level_id").agg(F.count("*").alias("predictions"), F.round(F.percentile("area", F.lit(0.5)), 6).alias("median_predicted"))
+    hit = pairs(v).groupBy("level_id").agg(F.count("*").alias("matched"))
+    large = F.avg((F.col("area") > 300).cast("double"))
+    everything = sided(v).agg(F.round(F.percentile("area", F.lit(0.5)), 6).alias("median_all"), F.round(F.avg("area"), 6).alias("mean_all"), F.round(large, 9).alias("large_all"))
+    return own.join(hit, "level_id").crossJoin(F.broadcast(everything))  # one row
+
+
+@query()
 def q_coarse_diag(v):
-    """Sizes of the references that are matched at each level."""
-    rows = pairs(v, edges(v), GROUP).join(sided(v).select("chip_id", "ref_id", "area"), ["chip_id", "ref_id"])
+    """Sizes of the references that are matched at each level (which of two equally good matchings is taken is no matter of SQL; tests hold the pairs against brute force)."""
+    rows = pairs(v).join(sided(v).select("chip_id", "ref_id", "area"), ["chip_id", "ref_id"])
     big = F.avg((F.col("area") > 300).cast("double"))
     return rows.groupBy("level_id").agg(F.count("*").alias("matched"), F.round(F.percentile("area", F.lit(0.5)), 6).alias("median_area"), F.round(F.avg("area"), 6).alias("mean_area"), F.round(big, 9).alias("share_large"))
 
