@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -41,8 +42,9 @@ def _held(spark: SparkSession) -> dict[str, tuple]:
         tables, stop = {}, sc.stop
 
         def stop_after_removing() -> None:
-            for path in list(tables):
-                _delete(tables, path)
+            with contextlib.suppress(Exception):  # whatever the file system says, the context stops
+                for path in list(tables):
+                    _delete(tables, path)
             stop()
 
         sc._aerolith_tables, sc.stop = tables, stop_after_removing
