@@ -24,6 +24,8 @@ from aerolith.llm import textnum as tn
 from aerolith.llm.common import apart, back, bounded_batches
 
 PLACES, AT_ONCE, MOST_LANGUAGES = 300, 1 << 19, 1000
+#: Score under which a text is in none of the languages: letters at random and other languages score up to 0.27, prose from 0.4.
+LEAST = 0.3
 GRAM = (1 << 40) - 1
 
 
@@ -164,7 +166,15 @@ def query(docs: DataFrame) -> DataFrame:
     return predict(ids, profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def stage(docs: DataFrame) -> DataFrame:
-    """The documents but those without a language (null texts, texts without a letter)."""
+def stage(docs: DataFrame, wanted: list[str] | None = None, least: float = LEAST) -> DataFrame:
+    """The documents in a wanted language (None: any learned one), by prediction; lang becomes the predicted one.
+
+    Rejected are texts without a letter, texts whose score is under `least` (they are in no language learned), and those in
+    another language than the wanted. Without any training document, none is left.
+    """
+    names = docs.columns
     profiles = train(docs.where(F.col("lang").isNotNull() & ~held_out()))
-    return back(predict(apart(docs), profiles).where("lang_pred <> 'und'"), docs.columns)
+    rows = predict(apart(docs), profiles).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    if wanted is not None:
+        rows = rows.where(F.col("lang_pred").isin(list(wanted)))
+    return back(rows.withColumn("lang", F.col("lang_pred").cast(docs.schema["lang"].dataType)), names)
