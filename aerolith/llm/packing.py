@@ -17,11 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from aerolith.llm import textnum as tn
-from aerolith.llm.common import bounded_batches
+from aerolith.llm.common import bounded_batches, cut
 
 SIZE, END, BLOCK, AT_ONCE = 4096, 2, 50_000, 1 << 20
 VOCABULARY = "word_bpe_49k.json"
@@ -55,8 +57,8 @@ def tokenised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocabulary
         yield a, before + np.arange(b - a + 1), out
 
 
-def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens (and ids) of each document's full windows and remainder."""
+def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens (and ids, and columns of docs to carry) of each document's full windows and remainder."""
     bounded_batches(docs.sparkSession)
     if vocabulary is None:
         import public_tokenizers
@@ -78,11 +80,13 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, wit
                 cols = [doc.take(pa.array(a + of)), pa.array(start), pa.array(length), pa.array(crc), pa.array(total[of])]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([at, bounds[-1:]]).astype(np.int32)), pa.array(ids.view(np.int32))))
+                cols += [batch.column(c).take(pa.array(a + of)) for c in carry]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else []), *carry]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(apply, schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), *carry).mapInArrow(apply, schema)
 
 
 class OpenSequences:
@@ -123,8 +127,8 @@ class OpenSequences:
 
 
 def pack(parts: DataFrame, size: int = SIZE, blocks: int = 1) -> DataFrame:
-    """parts with sequence_id and offset."""
-    names = parts.columns
+    """parts with sequence_id and offset; packed are the pieces of a block, which is a column of parts or their hash."""
+    names = [c for c in parts.columns if c != "block"]
 
     def apply(batches):
         block, open_, opened = None, None, 0
@@ -142,7 +146,7 @@ def pack(parts: DataFrame, size: int = SIZE, blocks: int = 1) -> DataFrame:
                     open_.put(room - length, at)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*names, "sequence_id", "offset"])
 
-    dealt = parts.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)))
+    dealt = parts if "block" in parts.columns else parts.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)))
     dealt = dealt.repartition("block").sortWithinPartitions("block", F.desc("length"), "doc_id", "start", "ids_crc32")
     like = parts.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return dealt.mapInArrow(apply, like.schema)
@@ -157,6 +161,28 @@ def query(docs: DataFrame) -> DataFrame:
     return packed(docs)
 
 
-def stage(docs: DataFrame) -> DataFrame:
-    """The documents' pieces, each in its place of a sequence."""
-    return packed(docs)
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id and text with __file and __row, by which rows stand in the order in which they were written (files of one table, by name and row)."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        places = at["file_path"].alias("__file"), at["row_index"].alias("__row")
+        rows = docs.select("doc_id", "text", *places)
+        rows.schema  # noqa: B018  fails here if the rows are of no file
+    except AnalysisException:
+        rows = docs.select("doc_id", "text", F.lit("").alias("__file"), F.monotonically_increasing_id().alias("__row"))
+    return rows
+
+
+def stage(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, stretch: int = BLOCK) -> DataFrame:
+    """The documents' pieces, each in its place of a sequence, with position: the place of its document in training order.
+
+    docs come in training order. Packed together are only documents of a stretch of that order (of at most `stretch` rows, in
+    one file), and sequence ids ascend from stretch to stretch, so that a curriculum stays one.
+    """
+    parts = pieces(in_order(docs), size, vocabulary, carry=("__file", "__row"))
+    parts = cut(parts.withColumn("__stretch", F.expr(f"__row div {stretch}")), "pieces")
+    # one row for each stretch
+    order = Window.orderBy(F.length("__file"), "__file", "__stretch")
+    number = parts.select("__file", "__stretch").distinct().withColumn("block", (F.row_number().over(order) - 1).cast("long"))
+    rows = parts.join(number, ["__file", "__stretch"]).withColumn("position", F.col("block") * (1 << 36) + F.col("__row") % stretch)
+    return pack(rows.drop("__file", "__row", "__stretch"), size)
