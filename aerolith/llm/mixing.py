@@ -4,28 +4,32 @@ Targets: the corpus' words are shared out by weight (1, 2, 3, 1, ... for sources
 most EPOCHS times its words; what is over goes to the others by weight, until none is above. In closed form, a source
 is at its limit if, with all sources of a smaller limit per weight at theirs, its share of the rest would reach it.
 
-Curriculum: over training time u in [0, 1] a source's rate is its target times 1 + k (2u - 1), with k by weight class:
-early for light sources, late for heavy ones. The integral, target times (u + k (u^2 - u)), is the source's cumulative
-demand. A source's documents, in the order of their ids' MD5, make a stream of words, run through as often as the target
+Curriculum: over training time u in [0, 1] a source's rate follows its schedule, a line through rates at equally spaced
+knots, given by source or by weight class (SCHEDULES: light sources early, heavy ones late). The integral up to u, as a
+share of the whole and times the target, is the source's cumulative demand: a quadratic in each stretch between knots. A
+source's documents, in the order of their ids' MD5, make a stream of words, run through as often as the target
 asks; inverting the demand at a copy's first word gives the copy's training position, and copies are range-sorted by
 it. The last document of a source's last pass is cut where the target is met.
 
-Prefix sums go by 4096 buckets of the MD5 within each source, so a source with most of the rows is no single task.
+Prefix sums go by buckets of the MD5 within each source (4096, and 16 times as many for each 16 times LARGE rows), so a
+source with most of the rows is no single task.
 A null text has size 0. Rows that repeat a doc_id are documents of their own. Sources without words have target 0. Null ids go by
 the MD5 of the empty string. Columns pass through.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from aerolith.llm.common import WORD, apart, back, cut
 
-EPOCHS, WEIGHTS, BUCKET = 3, 3, 3
-#: The slope k of each weight's rate, from weight 1 on.
-SLOPES = (-0.5, 0.0, 0.5)
+EPOCHS, WEIGHTS, BUCKET, LARGE = 3, 3, 3, 400_000_000
+#: Rates at knots over training time for each weight, from weight 1 on.
+SCHEDULES: dict[int | str, tuple[float, ...]] = {1: (1.5, 0.5), 2: (1.0, 1.0), 3: (0.5, 1.5)}
 SOURCE = ["__none", "__source"]
 
 
@@ -47,20 +51,49 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select(*SOURCE, "source_size", "weight", F.when(F.col("full"), F.col("limit").cast("double")).otherwise(share).alias("target"))
 
 
-def position(words: Column) -> Column:
-    """The training time at which a source's demand reaches so many words; needs target and weight."""
-    k = F.element_at(F.array(*[F.lit(s) for s in SLOPES]), F.col("weight").cast("int"))
-    x = F.least(words.cast("double") / F.col("target"), F.lit(1.0))
-    # k u^2 + (1 - k) u = x, in the form that k = 0 does not upset
-    return 2.0 * x / ((1.0 - k) + F.sqrt((1.0 - k) * (1.0 - k) + 4.0 * k * x))
+def integrated(rates: tuple[float, ...]) -> list[tuple[float, float, float]]:
+    """Of each stretch between knots: the share of demand before it, its first rate and its slope, scaled to a whole demand of 1 (over a stretch's own time)."""
+    if len(rates) < 2 or min(rates) < 0 or max(rates) <= 0:
+        raise ValueError(f"a schedule needs two rates or more, none negative and not all zero: {rates}")
+    n = len(rates) - 1
+    areas = [(a + b) / 2 for a, b in zip(rates, rates[1:], strict=False)]
+    whole = sum(areas)
+    return [(sum(areas[:i]) / whole, rates[i] / whole, (rates[i + 1] - rates[i]) / whole) for i in range(n)]
+
+
+def _inverse(x: Column, rates: tuple[float, ...]) -> Column:
+    """The training time by which a share x of the demand of a schedule is due."""
+    parts, at = integrated(rates), None
+    for i, (before, rate, slope) in enumerate(parts):
+        y = x - before if i else x
+        root = rate + F.sqrt(F.greatest(F.lit(rate * rate) + 2.0 * slope * y, F.lit(0.0)))
+        here = F.coalesce(F.try_divide(2.0 * y, root), F.lit(0.0))
+        here = here if len(parts) == 1 else (F.lit(float(i)) + F.least(here, F.lit(1.0))) / len(parts)
+        at = here if at is None else F.when(x >= before, here).otherwise(at)
+    return at
+
+
+def position(words: Column, schedules: dict | None = None) -> Column:
+    """The training time at which a source's demand reaches so many words; needs target, weight and __source.
+
+    schedules: rates at knots by weight (a number) or, before that, by a source's name.
+    """
+    x, out = F.least(words.cast("double") / F.col("target"), F.lit(1.0)), None
+    schedules = SCHEDULES | (schedules or {})
+    for key in sorted(schedules, key=lambda k: isinstance(k, str)):
+        holds = F.col("__source") == key if isinstance(key, str) else F.col("weight") == key
+        at = _inverse(x, tuple(map(float, schedules[key])))
+        out = F.when(holds, at) if out is None else F.when(holds, at).otherwise(out)
+    return out
 
 
 def plan(docs: DataFrame) -> DataFrame:
-    """docs with all its columns, then __size, __source_size, __target, __taken, __weight, __before (words of the source's documents before)."""
+    """docs with all its columns, then __size, __source_size, __target, __taken, __weight, __before (words of the source's documents before), __source."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     source = F.col("source").cast("string")
-    rows = docs.select("*", size.alias("__size"), key.alias("__key"), F.substring(key, 1, BUCKET).alias("__bucket"), source.isNull().alias("__none"), F.coalesce(source, F.lit("")).alias("__source"))
+    digits = BUCKET + max(0, math.ceil(math.log(max(docs.count(), 1) / LARGE, 16)))  # a count of Parquet rows reads no data
+    rows = docs.select("*", size.alias("__size"), key.alias("__key"), F.substring(key, 1, digits).alias("__bucket"), source.isNull().alias("__none"), F.coalesce(source, F.lit("")).alias("__source"))
     buckets = cut(rows.groupBy(*SOURCE, "__bucket").agg(F.sum("__size").alias("words")), "buckets")
     goals = targets(buckets.groupBy(*SOURCE).agg(F.sum("words").alias("source_size")))
     earlier = Window.partitionBy(*SOURCE).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,33 +105,35 @@ def plan(docs: DataFrame) -> DataFrame:
     passes = F.floor(wanted / least)
     more = wanted - passes * F.col("source_size")
     taken = passes * F.col("__size") + F.greatest(F.lit(0), F.least(more - F.col("__before"), F.col("__size")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), taken.cast("long").alias("__taken"), F.col("weight").alias("__weight"), "__before")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), taken.cast("long").alias("__taken"), F.col("weight").alias("__weight"), "__before", "__source")
 
 
-def first_position() -> Column:
-    at = position(F.col("__before")).alias("p")
+def first_position(schedules: dict | None = None) -> Column:
+    at = position(F.col("__before"), schedules)
     return F.when(F.col("__taken") > 0, F.floor(at * 1_000_000).cast("long"))
 
 
-def query(docs: DataFrame) -> DataFrame:
+def query(docs: DataFrame, schedules: dict | None = None) -> DataFrame:
+    """The documents in the order of their first copies' positions, those not taken last."""
     rows = plan(docs.select("doc_id", "text", "source"))
     rows = rows.withColumns({"target": F.col("__target"), "weight": F.col("__weight")})
-    return rows.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), "target", F.col("__taken").alias("taken"), first_position().alias("first_position"))
+    out = rows.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), "target", F.col("__taken").alias("taken"), first_position(schedules).alias("first_position"))
+    return out.orderBy(F.asc_nulls_last("first_position"), "doc_id")
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, schedules: dict | None = None) -> DataFrame:
     """A row for each copy of a document that the mix takes, all columns of docs, then __words (of the copy) and __position; sorted by position."""
     rows = plan(apart(docs)).where("__taken > 0").withColumns({"target": F.col("__target"), "weight": F.col("__weight")})
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("__taken") / F.col("__size")) - 1)).alias("__copy")
     rows = rows.select("*", copies)
     words = F.least("__size", F.col("__taken") - F.col("__copy") * F.col("__size"))
-    rows = rows.withColumn("__words", words).withColumn("__position", position(F.col("__copy") * F.col("__source_size") + F.col("__before")))
-    return back(rows.orderBy("__position", "doc_id"), docs.columns, "__size", "__words", "__position")
+    rows = rows.withColumn("__words", words).withColumn("__position", position(F.col("__copy") * F.col("__source_size") + F.col("__before"), schedules))
+    return back(rows.orderBy("__position", "doc_id", "__copy"), docs.columns, "__size", "__words", "__position")
 
 
-def stage(docs: DataFrame) -> DataFrame:
+def stage(docs: DataFrame, schedules: dict | None = None) -> DataFrame:
     """The documents that the mix takes, as often as it takes them, in training order; one cut short holds its first words, joined by spaces."""
-    rows = mix(docs)
+    rows = mix(docs, schedules)
     cut_short = F.col("__words") < F.col("__size")
     start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("__words").cast("int")), " ")
     rows = rows.withColumn("text", F.when(cut_short, start).otherwise(F.col("text")))
