@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from aerolith.llm import textnum as tn
-from aerolith.llm.common import bounded_batches, cut, drop, order_id
+from aerolith.llm.common import LAST_ID, bounded_batches, cut, drop, order_id
 
 #: Bytes of text handled at a time.
 AT_ONCE = 1 << 20
@@ -96,8 +96,8 @@ def carried(carry: list[str]) -> list:
     return [F.col("text") if c == "text" else F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)]
 
 
-def find(docs: DataFrame, owners: DataFrame, unit: Unit, solve: Callable) -> DataFrame:
-    """doc_id, start, end (packed positions): what `solve` finds to be covered by windows that start earlier."""
+def contexts(docs: DataFrame, owners: DataFrame, unit: Unit) -> DataFrame:
+    """CONTEXT rows of all anchors that occur again, dealt to shards and in order of h and salt there."""
     texts = keyed(docs).join(owners.where("doc_id = owner"), ["doc_id", "th"]).select("doc_id", "v", "text")
 
     def anchored(batches):
@@ -113,7 +113,6 @@ def find(docs: DataFrame, owners: DataFrame, unit: Unit, solve: Callable) -> Dat
         .groupBy("doc_id", F.shiftright("pos", SHIFT).cast("int").alias("v"))
         .agg(F.collect_list(F.struct((F.col("pos").bitwiseAND(OFFSET)).alias("at"), "h", "n", "reach")).alias("anchors"))
     )
-
     wanted = cut(wanted, "wanted")
     drop(anchors, shared)
 
@@ -121,12 +120,17 @@ def find(docs: DataFrame, owners: DataFrame, unit: Unit, solve: Callable) -> Dat
         for batch in _once(batches):
             yield from _contexts(batch, unit)
 
+    return texts.join(wanted, ["doc_id", "v"]).mapInArrow(cut_out, CONTEXT).repartition("h", "salt").sortWithinPartitions("h", "salt")
+
+
+def find(docs: DataFrame, owners: DataFrame, unit: Unit, solve: Callable) -> DataFrame:
+    """doc_id, start, end (packed positions): what `solve` finds to be covered by windows that start earlier."""
+
     def solved(batches):
-        for part in _shards(batches, unit.indexed):
+        for part in shards(batches, unit.indexed):
             yield from solve(part, unit)
 
-    contexts = texts.join(wanted, ["doc_id", "v"]).mapInArrow(cut_out, CONTEXT)
-    found = cut(contexts.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(solved, FOUND), "found")
+    found = cut(contexts(docs, owners, unit).mapInArrow(solved, FOUND), "found")
     # windows of hot anchors, each the first of its part: all but the first of all go
     split = found.where("kind = 1").select("f1", "f2", "doc_id", "start", "end")
     place = F.struct("doc_id", *(["start"] if unit.within else []))
@@ -203,7 +207,7 @@ def _contexts(batch, unit: Unit):
             )
 
 
-def _shards(batches, most: int) -> Iterator[pa.Table]:
+def shards(batches, most: int) -> Iterator[pa.Table]:
     """Contexts of whole anchors (or whole parts of hot ones), `most` or a few more at a time."""
     held, rows = [], 0
     for batch in batches:

@@ -4,8 +4,10 @@ In each shard (see repeats.py) the suffixes that start at anchors are sorted, wi
 prefixes; a stack scan of those turns them into the tree of common-prefix intervals. The left sides are sorted in the
 same way from the anchor leftwards. A level of the tree is the set of intervals that agree on the next L - a bytes; where
 members also agree on a bytes to the left, they form a group of equal windows of L bytes, and where they don't, the
-left extension is diverse and the group splits there. Each group holds all its occurrences, so the earliest of all is
-known, and every other one is covered.
+left extension is diverse and the group splits there. As `a` grows from level to level, a group that stays the same
+grows by a byte on the left; where its members change, on either side, it is a maximal repeat: it is put out with all its
+occurrences. The earliest of those stays, and what every other one covers goes. A repeat that reaches past its anchor's
+context goes on in the next anchor's, and repeats() joins such pieces.
 
 Null and empty texts have no bytes; texts of under `length` bytes lose none. Equal rows get equal results; for rows that
 share a doc_id see repeats.py. Columns other than doc_id and text are not read (dedup() hands them on).
@@ -18,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from aerolith.llm import repeats as R
 from aerolith.llm import textnum as tn
-from aerolith.llm.common import apart, back
+from aerolith.llm.common import apart, back, cut, original_id
 
 LENGTH, GRAM = 100, 32
 
@@ -60,54 +63,149 @@ def _sorted(side: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
+class Shard:
+    """The contexts of a shard, ranked by place, and their groups of equal windows."""
+
+    def __init__(self, shard: pa.Table, unit: R.Unit):
+        self.unit = unit
+        self.doc, self.pos, self.off, self.hot = (shard.column(c).to_numpy() for c in ("doc_id", "pos", "off", "hot"))
+        off = self.off.astype(np.int64)
+        self.buf, bounds = tn.joined(*tn.utf8(shard.column("body")))
+        self.m, self.reach = len(self.doc), unit.length - unit.gram
+        self.right_n, self.left_n = np.minimum(np.diff(bounds) - off, unit.length), np.minimum(off, self.reach)
+        self.middle = bounds[:-1] + off
+        self.rank = np.empty(self.m, np.int64)
+        self.rank[np.lexsort((self.pos, self.doc))] = np.arange(self.m)
+        self.by_rank = np.empty(self.m, np.int64)
+        self.by_rank[self.rank] = np.arange(self.m)
+        place = np.stack([self.doc, self.pos], 1)[self.by_rank]
+        tied = np.concatenate([[False], (place[1:] == place[:-1]).all(1)])  # repeated rows: neither is earlier
+        self.rank_of_place = (np.cumsum(~tied) - 1)[self.rank]
+
+    def windows(self):
+        """For each a: a, the contexts whose windows that start a bytes before the anchor occur again, in order of group and place; where groups begin."""
+        unit, m, reach = self.unit, self.m, self.reach
+        right, left = np.zeros((m, unit.length), np.uint8), np.zeros((m, reach), np.uint8)
+        right[np.arange(unit.length) < self.right_n[:, None]] = self.buf[tn.spread(self.middle, self.right_n)]
+        left[:, ::-1][np.arange(reach)[::-1] < self.left_n[:, None]] = self.buf[tn.spread(self.middle - self.left_n, self.left_n)]
+        # left[i, 0] is the byte before the anchor
+        order, lcp = _sorted(right, unit.length)
+        left_order, left_lcp = _sorted(left, reach)
+        first, last, depth, parent = interval_tree(lcp, unit.gram)
+        left_class = np.empty(m, np.int64)
+        for a in range(reach + 1):
+            take = (depth >= unit.length - a) & (parent < unit.length - a)
+            sizes = (last - first + 1)[take]
+            own = order[tn.spread(first[take], sizes)]
+            node = np.repeat(np.arange(len(sizes)), sizes)
+            fits = (self.left_n[own] >= a) & (self.right_n[own] >= unit.length - a)
+            own, node = own[fits], node[fits]
+            left_class[left_order] = np.cumsum(left_lcp < a) if a else 0
+            key = np.sort((node * (m + 1) + left_class[own]) * m + self.rank[own])
+            group = key // m
+            begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+            sizes = np.diff(np.concatenate([begins, [len(key)]]))
+            several = sizes > 1
+            who = self.by_rank[key[np.repeat(several, sizes)] % m]
+            sizes = sizes[several]
+            yield a, who, np.cumsum(sizes) - sizes
+
+    def maximal(self, seen=None):
+        """The maximal repeats: their contexts in order of group and place, where groups begin, and the least and largest a of each group's windows.
+
+        seen(a, contexts, groups' begins) is told of each level.
+        """
+        m = self.m
+        mixed = tn.mix(self.rank.astype(np.uint64) + tn.U64(1))
+        none = np.zeros(0, np.int64)
+        since, before = np.zeros(m, np.int64), np.zeros(m, np.uint64)
+        last = none, none, none, before[:0]
+        for a, who, begins in [*self.windows(), (self.reach + 1, none, none)]:
+            if seen and a <= self.reach:
+                seen(a, who, begins)
+            leads = who[begins]
+            sums = np.add.reduceat(mixed[who], begins) if len(begins) else before[:0]
+            now = np.zeros(m, np.uint64)
+            now[leads] = sums
+            # what the level before had and this one has not, or has with other members, was maximal
+            old, old_begins, old_leads, old_sums = last
+            ended = now[old_leads] != old_sums
+            if ended.any():
+                sizes = np.diff(np.concatenate([old_begins, [len(old)]]))
+                own = old[np.repeat(ended, sizes)]
+                sizes = sizes[ended]
+                yield own, np.cumsum(sizes) - sizes, since[old_leads[ended]], a - 1
+            fresh = leads[before[leads] != sums]
+            since[fresh] = a
+            before, last = now, (who, begins, leads, sums)
+
+
 def solve(shard: pa.Table, unit: R.Unit):
-    """Bytes covered by a window that starts earlier, one span for each context; and each hot context's first windows."""
-    doc, pos, off, hot = (shard.column(c).to_numpy() for c in ("doc_id", "pos", "off", "hot"))
-    off = off.astype(np.int64)
-    buf, bounds = tn.joined(*tn.utf8(shard.column("body")))
-    m, reach = len(doc), unit.length - unit.gram
-    right_n, left_n = np.minimum(np.diff(bounds) - off, unit.length), np.minimum(off, reach)
-    if m < 2 and not hot.any():  # a hot context alone in its part is still compared across parts
+    """Bytes covered by a repeat that starts earlier, one span for each context; and each hot context's first windows."""
+    s = Shard(shard, unit)
+    if s.m < 2 and not s.hot.any():  # a hot context alone in its part is still compared across parts
         return
-    middle = bounds[:-1] + off
-    right, left = np.zeros((m, unit.length), np.uint8), np.zeros((m, reach), np.uint8)
-    right[np.arange(unit.length) < right_n[:, None]] = buf[tn.spread(middle, right_n)]
-    left[:, ::-1][np.arange(reach)[::-1] < left_n[:, None]] = buf[tn.spread(middle - left_n, left_n)]
-    # left[i, 0] is the byte before the anchor
-    order, lcp = _sorted(right, unit.length)
-    left_order, left_lcp = _sorted(left, reach)
-    first, last, depth, parent = interval_tree(lcp, unit.gram)
-    rank = np.empty(m, np.int64)
-    rank[np.lexsort((pos, doc))] = np.arange(m)
-    by_rank = np.empty(m, np.int64)
-    by_rank[rank] = np.arange(m)
-    place = np.stack([doc, pos], 1)[by_rank]
-    tied = np.concatenate([[False], (place[1:] == place[:-1]).all(1)])  # repeated rows: neither is earlier
-    rank_of_place = (np.cumsum(~tied) - 1)[rank]
-    left_class = np.empty(m, np.int64)
-    near, far = np.full(m, unit.length), np.full(m, -1)  # the offsets at which a window is covered: least, largest
-    for a in range(reach + 1):
-        take = (depth >= unit.length - a) & (parent < unit.length - a)
-        sizes = (last - first + 1)[take]
-        own = order[tn.spread(first[take], sizes)]
-        node = np.repeat(np.arange(len(sizes)), sizes)
-        fits = (left_n[own] >= a) & (right_n[own] >= unit.length - a)
-        own, node = own[fits], node[fits]
-        left_class[left_order] = np.cumsum(left_lcp < a) if a else 0
-        key = np.sort((node * (m + 1) + left_class[own]) * m + rank[own])
-        group = key // m
-        who = by_rank[key % m]
-        head = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
-        lead = who[np.flatnonzero(head)][np.cumsum(head) - 1] if len(group) else who
-        gone = who[rank_of_place[who] > rank_of_place[lead]]
-        near[gone] = np.minimum(near[gone], a)
-        far[gone] = np.maximum(far[gone], a)
-        if hot.any():
-            is_gone = np.zeros(m, bool)
-            is_gone[gone] = True
-            yield from _first_windows(np.flatnonzero(hot & ~is_gone & (left_n >= a) & (right_n >= unit.length - a)), a, buf, middle, doc, pos, unit)
+    near, far = np.full(s.m, unit.length), np.full(s.m, -1)  # the offsets at which a window is covered: least, largest
+    firsts: list[tuple[int, np.ndarray]] = []
+
+    def note_firsts(a, who, begins):
+        later = np.zeros(s.m, bool)
+        sizes = np.diff(np.concatenate([begins, [len(who)]]))
+        later[who] = s.rank_of_place[who] > np.repeat(s.rank_of_place[who[begins]], sizes)
+        firsts.append((a, np.flatnonzero(s.hot & ~later & (s.left_n >= a) & (s.right_n >= unit.length - a))))
+
+    for who, begins, least, most in s.maximal(note_firsts if s.hot.any() else None):
+        sizes = np.diff(np.concatenate([begins, [len(who)]]))
+        later = s.rank_of_place[who] > np.repeat(s.rank_of_place[who[begins]], sizes)
+        gone, least = who[later], np.repeat(least, sizes)[later]
+        near[gone] = np.minimum(near[gone], least)
+        far[gone] = np.maximum(far[gone], most)
+    for a, own in firsts:
+        yield from _first_windows(own, a, s.buf, s.middle, s.doc, s.pos, unit)
     got = np.flatnonzero(far >= 0)
-    yield R.result(0, doc[got], pos[got] - far[got], pos[got] - near[got] + unit.length)
+    yield R.result(0, s.doc[got], s.pos[got] - far[got], s.pos[got] - near[got] + unit.length)
+
+
+GROUPS = "doc_id long, start long, end long, members long, occurrences array<struct<doc_id: bigint, start: bigint>>"
+
+
+def _grouped(shard: pa.Table, unit: R.Unit):
+    """Each maximal repeat of a shard: its first place, a hash of its occurrences relative to that, and all of them."""
+    s = Shard(shard, unit)
+    for who, begins, least, most in s.maximal():
+        sizes = np.diff(np.concatenate([begins, [len(who)]]))
+        lead = np.repeat(who[begins], sizes)
+        relative = tn.mix(tn.mix(s.doc[who].view(np.uint64)) + (s.pos[who] - s.pos[lead]).view(np.uint64))
+        members = np.add.reduceat(relative, begins).view(np.int64)
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([begins, [len(who)]]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(s.doc[who]), pa.array(s.pos[who] - most)], ["doc_id", "start"])
+        )
+        first = who[begins]
+        yield pa.RecordBatch.from_arrays([pa.array(s.doc[first]), pa.array(s.pos[first] - most), pa.array(s.pos[first] - least + unit.length), pa.array(members), lists], ["doc_id", "start", "end", "members", "occurrences"])
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **sizes: int) -> DataFrame:
+    """Maximal repeats of `length` bytes or more: group_doc, group_start (the first occurrence), n_bytes, doc_id, start: a row for each occurrence.
+
+    A group's occurrences are all that are equal over n_bytes and are not all extended alike, neither to the left nor to the
+    right. Of documents with equal texts only the owner is named. Texts of one doc_id follow each other by hash. Occurrences of
+    a hot anchor's strings are grouped within each of its parts (dedup() compares those across parts by fingerprint).
+    """
+    unit = R.Unit(words=False, length=length, gram=gram, within=True, **sizes)
+
+    def solved(batches):
+        for part in R.shards(batches, unit.indexed):
+            yield from _grouped(part, unit)
+
+    pieces = cut(R.contexts(docs, R.with_owner(docs), unit).mapInArrow(solved, GROUPS), "groups")
+    # pieces of one repeat, from neighbouring anchors: the same occurrences, windows without a gap
+    order = Window.partitionBy("doc_id", "members").orderBy("start")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = pieces.withColumn("begins", F.coalesce(F.col("start") > reach - (length - 1), F.lit(True)).cast("int"))
+    rows = rows.withColumn("number", F.sum("begins").over(order))
+    whole = rows.groupBy("doc_id", "members", "number").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("occurrences", "start").alias("occurrences"))
+    out = whole.select(F.col("doc_id").alias("group_doc"), F.col("start").alias("group_start"), (F.col("end") - F.col("start")).alias("n_bytes"), F.explode("occurrences").alias("at"))
+    return out.select(original_id("group_doc"), F.col("group_start").bitwiseAND(R.OFFSET).alias("group_start"), "n_bytes", F.col("at.doc_id").alias("doc_id"), F.col("at.start").bitwiseAND(R.OFFSET).alias("start")).withColumn("doc_id", original_id())
 
 
 def _first_windows(own, a, buf, middle, doc, pos, unit):
