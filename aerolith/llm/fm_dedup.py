@@ -5,7 +5,9 @@ a wavelet tree (as a matrix of bit-packed levels with counts, 1.1 bits a symbol
 then streamed through it from their last word to their first, all in step: a backward step narrows the interval of the
 suffix array by one more word on the left; where it would empty, the match gives up words on the right, by way of the
 parent interval. The match's length at each word is its matching statistic. Where it reaches `length` words, the interval
-holds every occurrence of that window, and with it the smallest doc_id that has one.
+is that of the window, the same for every occurrence; as all that is indexed is streamed, each occurrence brings its doc_id
+to its interval, and the smallest is known. So the index locates nothing and holds no suffix array, sampled or whole:
+packed bits, a byte for each common prefix, and links to parent intervals (8 bytes a symbol).
 
 A null text has no words. Texts of under `length` words lose none. Repeated rows get equal results, rows that share a
 doc_id are one document. Columns other than doc_id and text are handed on unread.
@@ -75,25 +77,26 @@ class FMIndex:
             new = np.empty(n, np.int32)
             new[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
             rank, k = new, k * 2
-        self.sa = np.argsort(rank, kind="stable")
-        self.tree = WaveletTree(text[self.sa - 1], n_symbols)  # text[-1] is a separator
+        sa = np.argsort(rank, kind="stable").astype(np.int32)
+        self.tree = WaveletTree(text[sa - 1], n_symbols)  # text[-1] is a separator
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols))])
         # common prefixes of neighbours, up to `most`, from the ranks by powers of two
-        x, y = self.sa[1:].copy(), self.sa[:-1].copy()
-        common = np.zeros(n - 1, np.int64)
+        x, y = sa[1:].copy(), sa[:-1].copy()
+        common = np.zeros(n - 1, np.int32)
         for j in range(len(ranks) - 1, -1, -1):
             same = (x < n) & (y < n)
             same[same] = ranks[j][x[same]] == ranks[j][y[same]]
-            step = same.astype(np.int64) << j
+            step = same.astype(np.int32) << j
             common += step
             x += step
             y += step
-        self.lcp = np.concatenate([[-1], np.minimum(common, most), [-1]])
+        # one more than the common symbols, 0 at the ends
+        self.lcp = np.concatenate([[0], np.minimum(common, most) + 1, [0]]).astype(np.uint8 if most < 255 else np.int32)
         self.smaller = _smaller(self.lcp, -1), _smaller(self.lcp, 1)
 
     def classes(self, length: int) -> np.ndarray:
         """Which suffixes agree on `length` symbols: a number for each place in the suffix array."""
-        return np.cumsum(self.lcp[:-1] < length) - 1
+        return np.cumsum(self.lcp[:-1] <= length, dtype=np.int32) - 1
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The half-open intervals of patterns with one more symbol on the left."""
@@ -104,15 +107,15 @@ class FMIndex:
     def parent(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The smallest larger intervals, and the symbols their members have in common."""
         at = np.where(self.lcp[lo] >= self.lcp[hi], lo, hi)
-        return self.smaller[0][at], self.smaller[1][at], np.maximum(self.lcp[at], 0)
+        return self.smaller[0][at], self.smaller[1][at], np.maximum(self.lcp[at].astype(np.int64) - 1, 0)
 
 
 def _smaller(values: np.ndarray, step: int) -> np.ndarray:
     """The nearest place before (-1) or after (1) each with a smaller value, by jumps over jumps; the ends hold the least."""
     n = len(values)
-    out = np.arange(n) + step
+    out = np.arange(n, dtype=np.int32) + np.int32(step)
     out[0], out[-1] = 0, n - 1
-    todo = np.arange(1, n - 1)
+    todo = np.arange(1, n - 1, dtype=np.int32)
     while len(todo):
         todo = todo[values[out[todo]] >= values[todo]]
         todo = todo[(out[todo] > 0) & (out[todo] < n - 1)]
@@ -172,12 +175,14 @@ def solve(shard: pa.Table, unit: R.Unit):
     text_at = np.arange(width + 1) <= sizes[own][:, None]
     index = FMIndex(np.maximum(rows, 0)[text_at], int(symbols.max()) + 2, length)
     classes = index.classes(length)
-    doc_of = np.repeat(doc[own], sizes[own] + 1)[index.sa]
-    first_doc = np.minimum.reduceat(doc_of, np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]])))
     near, far = np.full(k, width), np.full(k, -1)  # window starts that go: least, largest
     kept: list[tuple[np.ndarray, np.ndarray]] = []
-    for who, at, place in matching_statistics(index, rows, sizes[own], length):
-        gone = first_doc[classes[place]] < doc[own][who]
+    matches = [(who.astype(np.int32), at.astype(np.int32), classes[place]) for who, at, place in matching_statistics(index, rows, sizes[own], length)]
+    first_doc = np.full(int(classes[-1]) + 1, R.LAST_ID)
+    for who, _, place in matches:
+        np.minimum.at(first_doc, place, doc[own][who])
+    for who, at, place in matches:
+        gone = first_doc[place] < doc[own][who]
         x, where = who[gone], at[gone]
         near[x], far[x] = np.minimum(near[x], where), np.maximum(far[x], where)
         if hot.any():
