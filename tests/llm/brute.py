@@ -84,3 +84,64 @@ def near_dups(rows: list[tuple[int, str | None]]) -> dict[int, tuple]:
                         x, y = find(a), find(b)
                         parent[max(x, y)] = min(x, y)
     return {doc: (len(s), find(doc), find(doc) == doc) for doc, s in sets.items()}
+
+
+def maximal_repeats(rows: list[tuple[int, str | None]], length: int = 100) -> set[tuple]:
+    """(n_bytes, all occurrences): strings of `length` bytes or more that occur again and are longest for their occurrences."""
+    windows: dict[bytes, list] = {}
+    texts = {doc: (text or "").encode() for doc, text in rows}
+    for doc, data in sorted(texts.items()):
+        for i in range(len(data) - length + 1):
+            windows.setdefault(data[i : i + length], []).append((doc, i))
+    out = set()
+    for places in windows.values():
+        if len(places) < 2:
+            continue
+        n, at = length, list(places)
+        while at[0][1] > 0 and len({texts[d][i - 1 : i] if i else None for d, i in at}) == 1 and len(windows[texts[at[0][0]][at[0][1] - 1 : at[0][1] - 1 + length]]) == len(at):
+            at, n = [(d, i - 1) for d, i in at], n + 1
+        while len({texts[d][i + n : i + n + 1] for d, i in at}) == 1 and at[0][1] + n < len(texts[at[0][0]]) and len(windows[texts[at[0][0]][at[0][1] + n + 1 - length : at[0][1] + n + 1]]) == len(at):
+            n += 1
+        out.add((n, tuple(at)))
+    return out
+
+
+def _scrambled(x: int) -> int:
+    """The 40 bits that stand for an n-gram, by which equally frequent ones are ordered."""
+    m = 2**64 - 1
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & m
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & m
+    return (x ^ x >> 31) >> 24
+
+
+def language(train: list[tuple[str, str]], texts: list[str | None], places: int = 300) -> list[tuple[str, float]]:
+    """Language and score of each text by profiles of (text, lang)."""
+
+    def counts(text):
+        out: dict[int, int] = {}
+        for word in re.findall(r"[^\W\d_]+", text or ""):
+            padded = [1, *(ord(c.lower()[0]) + 2 for c in word), 1]
+            for g in [*([c] for c in padded[1:-1]), *(padded[i : i + k] for k in (2, 3) for i in range(len(padded) - k + 1))]:
+                key = _scrambled(sum(c << 21 * i for i, c in enumerate(g)))
+                out[key] = out.get(key, 0) + 1
+        return out
+
+    total: dict[str, dict[int, int]] = {}
+    for text, lang in train:
+        own = total.setdefault(lang, {})
+        for g, n in counts(text).items():
+            own[g] = own.get(g, 0) + n
+    profiles = {lang: {g: i for i, g in enumerate(sorted(c, key=lambda g: (-c[g], g))[:places])} for lang, c in total.items()}
+    out = []
+    for text in texts:
+        count = counts(text)
+        grams = sorted(count, key=lambda g: (-count[g], g & 0xFFFFFF))[:places]
+        if not grams or not profiles:
+            out.append(("und", 0.0))
+            continue
+        far = {lang: sum(abs(p[g] - i) if g in p else places for i, g in enumerate(grams)) / (len(grams) * places) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        out.append((best, 1 - far[best]))
+    return out

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from aerolith.llm import ann, fertility, fm_dedup, lang_id, minhash, mixing, packing, repeats, suffix_dedup, url_filter, warc
+from aerolith.llm import ann, common, fertility, fm_dedup, lang_id, minhash, mixing, packing, queries, repeats, suffix_dedup, url_filter, warc
 from aerolith.llm import textnum as tn
 from tests.llm import brute
 
@@ -104,6 +104,18 @@ def test_blocks_of_a_band(spark, rows, monkeypatch):
     assert as_dict(minhash.query(frame(spark, rows + near))) == brute.near_dups(rows + near)
 
 
+@pytest.mark.parametrize("sizes", [{}, {"indexed": 20}])
+def test_maximal_repeats(spark, rows, sizes):
+    texts = {t: d for d, t in reversed(rows) if t and "éß" not in t and t != "x" * 5000}
+    texts = [(d, t) for t, d in texts.items()]
+    texts += [(3000, "begin " + texts[0][1] + " " + texts[1][1][:180]), (3001, texts[1][1][20:150] + " end")]
+    groups = {}
+    for r in suffix_dedup.repeats(frame(spark, texts), **sizes).collect():
+        groups.setdefault((r.group_doc, r.group_start, r.n_bytes), []).append((r.doc_id, r.start))
+    found = {(n, tuple(sorted(at))) for (doc, start, n), at in groups.items() if min(at) == (doc, start)}
+    assert len(found) == len(groups) and found == brute.maximal_repeats(texts)
+
+
 def test_interval_tree():
     first, last, depth, parent = suffix_dedup.interval_tree(np.array([0, 3, 5, 5, 2, 0, 4]), 2)
     assert sorted(zip(first, last, depth, parent, strict=True)) == [(0, 3, 3, 2), (0, 4, 2, 0), (1, 3, 5, 3), (5, 6, 4, 0)]
@@ -166,6 +178,32 @@ def test_language(spark):
     assert kept == set(out) - {200, 201}
 
 
+def test_language_against_plain_profiles(spark, rows):
+    rng = random.Random(15)
+    syllables = {"aa": ["the", "ing", "er", "wh", "Ou"], "bb": ["eau", "ç", "oui", "é", "er"], "cc": ["sch", "ung", "ß", "ei", "der"]}
+    prose = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=rng.randrange(1, 5))) for _ in range(n))
+    texts = [(5000 + i, prose(lang, rng.randrange(1, 200)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    texts += [(d, t, None) for d, t in rows] + [(7000, "Ünï1cöde_word 12 ... ΑΒΓ", None)]
+    train = [(t, lang) for d, t, lang in texts if lang and zlib.crc32(str(d).encode()) % 5]
+    want = dict(zip([d for d, *_ in texts], brute.language(train, [t for _, t, _ in texts]), strict=True))
+    out = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.query(spark.createDataFrame([(d, t, lang, "s", 0) for d, t, lang in texts], DOCS)).collect()}
+    assert out.keys() == want.keys() and len({p for p, _ in want.values()}) == 4
+    for d, (pred, score) in want.items():
+        assert out[d][0] == pred and abs(out[d][1] - score) < 1e-9, d
+
+
+def test_language_stage_goes_by_prediction(spark):
+    rng = random.Random(16)
+    parts = {"en": ["the", "ing", "th", "wh", "er"], "fr": ["eau", "ç", "oui", "é", "elle"]}
+    text = lambda lang, n=40: " ".join("".join(rng.choices(parts[lang], k=rng.randrange(1, 4))) for _ in range(n))
+    rows = [(d, text(lang), lang, "s", 0) for d, lang in enumerate(["en", "fr"] * 40)]
+    rows += [(100, text("en"), "fr", "s", 0), (101, "".join(rng.choices("bdjkmpqvxz  ", k=300)), None, "s", 0), (102, "Все люди рождаются свободными", None, "s", 0), (103, text("fr"), None, "s", 0)]
+    out = {r.doc_id: r.lang for r in lang_id.stage(spark.createDataFrame(rows, DOCS)).collect()}
+    assert set(out) == {*range(80), 100, 103} and out[100] == "en" and out[103] == "fr"
+    only = {r.doc_id for r in lang_id.stage(spark.createDataFrame(rows, DOCS), ["fr"]).collect()}
+    assert only == {d for d, lang in out.items() if lang == "fr"}
+
+
 def test_frequent_grams_rank_by_count():
     doc, gram, place = lang_id._ranked(np.array([0, 0, 0, 1]), np.array([1, 2, 3, 1]), np.array([2**19, 2**20, 2**21, 5]), 2)
     assert list(zip(doc.tolist(), gram.tolist(), place.tolist(), strict=True)) == [(0, 3, 0), (0, 2, 1), (1, 1, 0)]
@@ -291,6 +329,35 @@ def test_mix(spark):
     assert sum(len(brute.WORD.findall(r.text)) for r in staged) == sum(taken.values())
 
 
+def test_schedules():
+    u = [i / 50 for i in range(51)]
+    for rates in ((1.5, 0.5), (1.0, 1.0), (0.0, 2.0, 1.0, 0.0), (3.0, 0.0, 0.0, 1.0)):
+        parts = mixing.integrated(rates)
+        n = len(parts)
+
+        def due(t, parts=parts, n=n):  # the demand up to t
+            i = min(int(t * n), n - 1)
+            before, rate, slope = parts[i]
+            w = t * n - i
+            return before + rate * w + slope * w * w / 2
+
+        assert abs(due(1.0) - 1) < 1e-12 and all(due(a) <= due(b) + 1e-12 for a, b in zip(u, u[1:], strict=False))
+    with pytest.raises(ValueError, match="schedule"):
+        mixing.integrated((0.0, 0.0))
+
+
+def test_positions_follow_the_schedule(spark):
+    rng = random.Random(18)
+    docs = spark.createDataFrame([(d, " ".join(words(rng, 20)), "en", "ab"[d % 2], 0) for d in range(400)], DOCS)
+    late = {"a": (0.0, 0.0, 1.0), "b": (1.0, 0.0)}
+    out = mixing.mix(docs, late).collect()
+    assert [r["__position"] for r in out] == sorted(r["__position"] for r in out)
+    a, b = ([r["__position"] for r in out if r.source == s] for s in "ab")
+    assert min(a) >= 0.5 and abs(sum(b) / len(b) - 1 / 3) < 0.03 and abs(sum(a) / len(a) - 5 / 6) < 0.03
+    at = [r.first_position for r in mixing.query(docs, late).collect()]
+    assert at == sorted(at, key=lambda p: (p is None, p)) and {p is None for p in at} == {True, False}
+
+
 def test_packing(spark, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -314,6 +381,31 @@ def test_packing(spark, rows):
         assert at <= 4096
 
 
+def test_added_tokens_are_as_in_the_whole_text(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"{a}{token}{b}" for token in ("<|startoftext|>", "<|endoftext|>") for a in ("", "hello ", "hello", "<|") for b in ("", " end", "end", "|>", token)]
+    texts += ["<|endoftext|>" * 3, "<|ENDOFTEXT|>", "<|end oftext|>", "hello world <|endoftext|> end"]
+    out = {r.doc_id: r.ids for r in packing.packed(frame(spark, list(enumerate(texts))), with_ids=True).collect()}
+    assert all(out[d] == [*model.encode(t, add_special_tokens=False).ids, 2] for d, t in enumerate(texts))
+    assert out[len(texts) - 1] == [3306, 1002, 49407, 806, 2]
+
+
+def test_packing_keeps_training_order(spark, tmp_path):
+    rng = random.Random(17)
+    order = rng.sample(range(300), 300)
+    docs = frame(spark, [(d, " ".join(words(rng, rng.randrange(40, 900)))) for d in order]).coalesce(1)
+    docs.write.parquet(str(tmp_path / "docs"))
+    for table in (spark.read.parquet(str(tmp_path / "docs")), docs):
+        out = packing.stage(table, stretch=60).collect()
+        place = {d: i for i, d in enumerate(order)}
+        assert all(r.sequence_id >> 40 == place[r.doc_id] // 60 for r in out)
+        assert [r.doc_id for r in sorted(out, key=lambda r: (r.position, r.start)) if r.start == 0] == order
+        assert {r.doc_id for r in out} == set(order)
+
+
 def test_best_fit():
     rng = random.Random(8)
     open_, plain = packing.OpenSequences(64), []
@@ -410,6 +502,77 @@ def test_awkward_pages_and_vectors(spark):
     assert ann.query(empty).collect() == []
 
 
+def test_tables_go_with_their_session(spark, rows):
+    import os
+
+    shared = common.shared_dir(spark)
+    before = set(os.listdir(shared))
+    made = common.settled(spark, lambda: minhash.stage(frame(spark, rows[:30])), "kept")
+    assert set(os.listdir(shared)) - before == {made.cut_path.rsplit("/", 1)[-1]}
+    common.drop(made)
+    assert set(os.listdir(shared)) == before
+    warc.query(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")).count()
+    assert not [x for x in set(os.listdir(shared)) - before if x.startswith("warc")]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    class Other:
+        master = "spark://host:7077"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    class Session:
+        sparkContext, conf = Other(), {"spark.sql.warehouse.dir": "file:/tmp/warehouse"}  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session())
+
+
+def test_long_texts_are_handled_whole(spark):
+    """Texts over the stretch that is handled at a time."""
+    rng = random.Random(19)
+    long = words(rng, 260_000, 3000)
+    passage = " ".join(words(rng, 70, 100_000))
+    rows = [(1, " ".join(long)), (2, "start " + " ".join(long[200_000:200_200]) + " " + passage), (3, passage + " " + " ".join(long)), (4, " ".join(long) + " more")]
+    assert all(len(t) > 1 << 20 for d, t in rows if d != 2)
+    docs = frame(spark, rows)
+    assert as_dict(fm_dedup.query(docs)) == brute.fm_dedup(rows)
+    assert as_dict(minhash.query(docs)) == brute.near_dups(rows)
+    out = {r.doc_id: r for r in fertility.query(docs).collect()}
+    w = brute.WORD.findall(rows[3][1])
+    assert (out[4].n_words, out[4].word_chars) == (len(w), sum(map(len, w)))
+    sizes = {r.doc_id: r.size for r in mixing.query(docs).collect()}
+    assert sizes == {d: len(t.split()) for d, t in rows}
+    assert {r.lang_pred for r in lang_id.query(docs).collect()} == {"en"}
+
+
+@pytest.mark.parametrize("name", ["op1_warc", "op5_curriculum_mix", "op10_url_filter"])
+def test_sql_gives_the_same_rows(spark, name):
+    import os
+
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    con = duckdb.connect()
+    for t in os.listdir(sf):
+        con.execute(f"create view {t.removesuffix('.parquet')} as select * from read_parquet('{sf}/{t}')")
+    got = queries.QUERIES[name](spark, sf)
+    names = sorted(got.columns)
+    want = con.execute(f"select {', '.join(chr(34) + n + chr(34) for n in names)} from ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.select(*names).collect()))) == sorted(map(str, want))
+
+
+def test_domains(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("a.b.co.uk", "co.uk", "b.com", "10.0.0.1", "10.0.0.1:80", "[::1]", "u@x.y.com.au:8080", "com", "", "a.b.c.org.")], "host string")
+    out = {r.host: (r.domain, r.suffix) for r in url_filter.levels(hosts).collect()}
+    assert out["a.b.co.uk"] == ("b.co.uk", "co.uk") and out["co.uk"] == ("co.uk", "co.uk") and out["b.com"] == ("b.com", "com")
+    assert out["10.0.0.1"] == out["10.0.0.1:80"] == ("10.0.0.1", "") and out["[::1]"][1] == ""
+    assert out["u@x.y.com.au:8080"] == ("y.com.au", "com.au") and out["com"] == ("com", "com") and out["a.b.c.org."] == ("c.org", "org")
+
+
 def test_many_texts_of_one_id(spark):
     """Texts of one id (a null one) are numbered in their hash's order, whatever stretch of it they are in."""
     rows = [(None, f"text {i % 300}") for i in range(600)] + [(7, "text 1"), (7, "b"), (8, "c"), (9, "c")]
