@@ -8,12 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from aerolith.llm import lang_id, minhash, mixing, packing, suffix_dedup
-from aerolith.llm.common import cut, table
+from aerolith.llm.common import drop, settled, table
+
+
+#: Languages that are kept; None: all that are learned.
+LANGUAGES: list[str] | None = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no language."""
-    return lang_id.stage(docs)
+    """Documents in a wanted language, by prediction (which becomes their lang)."""
+    return lang_id.stage(docs, LANGUAGES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +36,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
+    """Pieces of documents in sequences of 4096 tokens, stretch by stretch of the training order."""
     return packing.stage(docs)
 
 
@@ -44,5 +48,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        last = docs
+        docs = settled(spark, lambda: stage(spark, last, sf_dir), f"pipeline-{name}")  # noqa: B023
+        drop(last)
     return STAGES[-1][1](spark, docs, sf_dir)
