@@ -6,8 +6,9 @@ noise) has few characters per token and many bytes; repetition has little entrop
 usual depends on the language (the script, where the language is null) and on the length, so bands are taken from the
 corpus: the quartiles over all documents of a language and a doubling of the token count, widened by WIDE interquartile
 ranges (at least by SLACK of the quartile, for groups that are nearly all alike). Where those are under LEAST documents,
-the band is that of the first wider group that has as many: neighbouring doublings, then the script, then the corpus (see
-WIDER). Only a corpus of under LEAST documents in all has no bands. A document outside a band is rejected. Words are cut
+the band is that of the first wider group that has as many: neighbouring doublings, then (characters and bytes, which hang
+on the language more than on the length) all lengths, then the script, then the corpus; for the entropy, which hangs on the
+length, the script at that length comes before the language at all lengths (see WIDER and NEAREST). Only a corpus of under LEAST documents in all has no bands. A document outside a band is rejected. Words are cut
 apart from each other; white space makes no token.
 
 A null text has no words and is base_failed. Rows that repeat a doc_id are judged each by its text. Other columns but
@@ -31,6 +32,9 @@ WIDE, SLACK, LEAST = 3.0, 0.02, 50
 CELL = ["group", "script", "size"]
 #: Groups that a band can be taken from, the closest first: whose documents, and how many doublings of the token count to either side (None: all).
 WIDER = [("group", 0), ("group", 1), ("group", 2), ("script", 0), ("script", 1), ("script", 2), ("corpus", 0), ("corpus", 1), ("corpus", 2), ("group", None), ("script", None), ("corpus", None)]
+#: For each measure the order in which groups are asked (by their place in WIDER).
+_BY_LANGUAGE = [0, 1, 2, 9, 3, 4, 5, 10, 6, 7, 8, 11]
+NEAREST = {"chars_per_token": _BY_LANGUAGE, "byte_share": _BY_LANGUAGE, "token_entropy": list(range(12))}
 #: Bands that are broadcast at most (some 100 bytes each).
 MOST_BANDS = 20_000
 VOCABULARY = "piece_bpe_32k.model"
@@ -193,7 +197,8 @@ def judged(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     quartiles = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)), F.col("count"))
     bands = held.groupBy("level", "of", "near", "measure").agg(F.sum("count").alias("n"), quartiles.alias("q")).where(F.col("n") >= LEAST)
     asked = cells.select(*CELL, F.explode(_places(False)).alias("at")).select(*CELL, "at.*")
-    nearest = asked.join(bands, ["level", "of", "near"]).groupBy(*CELL).agg(*[F.min(F.when(F.col("measure") == c, F.struct("level", "q"))).alias(f"{c}_q") for c in MEASURES])
+    turn = lambda c: F.array(*[F.lit(NEAREST[c].index(i)) for i in range(len(WIDER))])[F.col("level")].alias("turn")
+    nearest = asked.join(bands, ["level", "of", "near"]).groupBy(*CELL).agg(*[F.min(F.when(F.col("measure") == c, F.struct(turn(c), "q"))).alias(f"{c}_q") for c in MEASURES])
     bands = cut(nearest, "bands")
     # most documents are of one language: with few bands the rows need not meet by language
     out, inside = rows.join(F.broadcast(bands) if bands.count() <= MOST_BANDS else bands, CELL, "left"), F.lit(True)

@@ -255,6 +255,60 @@ def test_quality_rejects_symbol_junk(spark):
     assert sum(kept for d, (_, kept) in out.items() if d < 200) >= 196
 
 
+def test_quality_rejects_what_is_no_text_in_any_language(spark):
+    """Encoded, wrongly decoded, enciphered and random text, one of each beside 80 documents of its language."""
+    import base64
+
+    rng = random.Random(20)
+    syllables = {"en": ["the", "ing", "er", "on", "st", "an"], "fr": ["eau", "ç", "oui", "é", "elle", "ai"], "de": ["sch", "ung", "ß", "ei", "der", "ä"]}
+    text = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=rng.randrange(1, 4))) for _ in range(n))
+    rows = [(d, text(lang, rng.randrange(200, 400)), lang, "s", 0) for d, lang in enumerate(["en", "fr", "de"] * 80)]
+    junk = []
+    for lang in syllables:
+        t = text(lang, 300)
+        coded = base64.b64encode(t.encode()).decode()
+        junk += [" ".join(coded[i : i + 60] for i in range(0, len(coded), 60)), " ".join(t.encode().hex()[i : i + 30] for i in range(0, 3000, 30)), "".join(chr((ord(c) - 97 + 13) % 26 + 97) if "a" <= c <= "z" else c for c in t)]
+        junk += [" ".join("".join(rng.choices("bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ0123456789", k=rng.randrange(3, 12))) for _ in range(300))]
+        junk += [t.encode().decode("latin-1")] if lang != "en" else []
+        rows += [(1000 + len(rows) + i, x, lang, "s", 0) for i, x in enumerate(junk)]
+        junk = []
+    out = as_dict(fertility.query(spark.createDataFrame(rows, DOCS)).select("doc_id", "base_failed", "kept"))
+    assert not [d for d, (_, kept) in out.items() if d >= 1000 and kept]
+    assert sum(kept for d, (_, kept) in out.items() if d < 1000) >= 232
+
+
+def plain_verdicts(rows):
+    """kept of rows (doc_id, n_tokens, group, script, measures ..., base_failed) by bands taken from lists of all values."""
+    level = lambda r: max(r["n_tokens"], 1).bit_length() - 1
+    out = {}
+    for r in rows:
+        ok = not r["base_failed"]
+        for c in fertility.MEASURES:
+            for i in fertility.NEAREST[c]:
+                of, reach = fertility.WIDER[i]
+                near = [x[c] for x in rows if (of == "corpus" or x[of] == r[of]) and (reach is None or abs(level(x) - level(r)) <= reach)]
+                if len(near) >= fertility.LEAST:
+                    low, high = np.percentile(np.round(near, 4), [25, 75])
+                    room = max(fertility.WIDE * (high - low), fertility.SLACK * high)
+                    ok = ok and low - room - 1e-9 <= r[c] <= high + room + (0.05 if c == "byte_share" else 1e-9)
+                    break
+        out[r["doc_id"]] = ok
+    return out
+
+
+def test_quality_verdicts_against_plain_bands(spark):
+    rng = random.Random(21)
+    rows = [(d, " ".join(prose(rng, int(2 ** rng.uniform(3, 10)))) + rng.choice(["", "", "", " #*$" * rng.randrange(40), " 日本" * rng.randrange(30)]), rng.choice(["en", "en", "xx", None]), "s", 0) for d in range(260)]
+    docs = spark.createDataFrame(rows, DOCS)
+    seen = [r.asDict() for r in fertility.measured(docs.select("doc_id", "text", "lang")).collect()]
+    for r in seen:
+        w, _, _, _, _, failed = base_rules(rows[r["doc_id"]][1])
+        r |= {"base_failed": failed, "group": f"lang:{r['lang']}" if r["lang"] else f"script:{r['script']}"}
+        assert r["n_words"] == w
+    want = plain_verdicts(seen)
+    assert {r.doc_id: r.kept for r in fertility.query(docs).collect()} == want and len(set(want.values())) == 2
+
+
 def test_quality_judges_small_groups(spark):
     rng = random.Random(13)
     rows = [(d, " ".join(prose(rng, rng.randrange(200, 400))), "en", "s", 0) for d in range(120)]
