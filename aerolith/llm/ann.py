@@ -6,8 +6,13 @@ priority queue holds the branches passed by, by their centres' distance, and the
 leaves that takes is calibrated on the sample: visits widen until the nearest of a set of sample queries are found
 with the recall asked for.
 
+The sample does not grow with the data, but a leaf's vectors do. A leaf of over PART vectors gets a subtree, fitted in a task on a
+bounded sample of the leaf's own (SUB_SAMPLE) and calibrated there; subtrees go by shuffle to the leaf's vectors and to the
+queries that visit it, which visit its bins best bin first again. So a query's work hangs on bins of some PART vectors
+until there are some hundred times as many leaves.
+
 Equal vectors are indexed once, with their K + 1 smallest ids (no query needs more); equal queries are searched once. A
-leaf's vectors are dealt to parts of PART, each held by one task, past which the queries that visit the leaf stream in
+bin's vectors are dealt to parts of PART, each held by one task, past which the queries that visit the bin stream in
 blocks. Scores are cosines of the original vectors in double precision; ties go to the smaller id.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than most.
@@ -18,16 +23,20 @@ a query gets all, with none no row. Other columns are not read.
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from aerolith.llm.common import cut
 
 K, EVERY, BRANCH, PART, BLOCK = 5, 50, 8, 4096, 512
+#: Vectors of a large leaf that its subtree is fitted on, bins of all subtrees' numbers, how many times the calibrated visits are made there.
+SUB_SAMPLE, BINS, SUB_WIDER = 8192, 1 << 20, 1.5
 #: Floats in the sample at most, vectors in it, vectors of it in a leaf, calibration queries, recall asked for there.
 SAMPLE_FLOATS, SAMPLE, LEAF, ASKED, RECALL = 8_000_000, 20_000, 48, 256, 0.98
 
@@ -127,6 +136,71 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
+def _subtrees(members: DataFrame, large: DataFrame, most: int) -> DataFrame:
+    """leaf, tree (pickled: a Tree and the bins to visit) of the large leaves (leaf, n), each from a sample of its vectors."""
+
+    def built(batches):
+        def tree(leaf, n, vectors):
+            vectors = _unit(np.concatenate(vectors))
+            made = Tree(vectors, leaf=max(16, int(len(vectors) * most / (2 * n))))
+            visits = min(len(made.leaves), int(np.ceil(SUB_WIDER * calibrate(made, vectors))))
+            return pa.RecordBatch.from_arrays([pa.array([leaf], pa.int32()), pa.array([pickle.dumps((made, visits))], pa.binary())], ["leaf", "tree"])
+
+        last, held = None, []
+        for batch in batches:
+            leaf = batch.column("leaf").to_numpy()
+            ends = np.flatnonzero(leaf[1:] != leaf[:-1]) + 1
+            for x, y in zip([0, *ends], [*ends, len(leaf)], strict=True):
+                if x == y:
+                    continue
+                if held and leaf[x] != last[0]:
+                    yield tree(*last, held)
+                    held = []
+                last = int(leaf[x]), batch.column("n")[x].as_py()
+                held.append(_matrix(batch.column("embedding").slice(x, y - x)))
+        if held:
+            yield tree(*last, held)
+
+    few = members.join(F.broadcast(large), "leaf").where(F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(F.col("n") / SUB_SAMPLE)) == 0)  # at most the tree's leaves
+    return cut(few.select("leaf", "n", "embedding").repartition("leaf").sortWithinPartitions("leaf").mapInArrow(built, "leaf int, tree binary"), "subtrees")
+
+
+def _refined(rows: DataFrame, trees: DataFrame, parts: DataFrame, each_visit: bool) -> DataFrame:
+    """rows (key, embedding, leaf and more) of large leaves with bin: the one that holds the vector, or with each_visit a row for each that a query visits.
+
+    A leaf's rows are dealt to parts (leaf, parts), and each part gets the leaf's subtree first.
+    """
+    names = [c for c in rows.columns if c != "leaf"]
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names]
+    ahead = trees.join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "tree", *none)
+    then = rows.join(F.broadcast(parts), "leaf").select("leaf", F.pmod("key", "parts").cast("int").alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("tree"), *names)
+    dealt = ahead.unionByName(then).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "kind")
+
+    def placed(batches):
+        tree, visits = None, 1
+        for batch in batches:
+            leaf, kind, part = (batch.column(c).to_numpy() for c in ("leaf", "kind", "part"))
+            ends = np.flatnonzero((leaf[1:] != leaf[:-1]) | (kind[1:] != kind[:-1]) | (part[1:] != part[:-1])) + 1
+            for x, y in zip([0, *ends], [*ends, len(leaf)], strict=True):
+                if x == y:
+                    continue
+                if not kind[x]:
+                    tree, visits = pickle.loads(batch.column("tree")[x].as_py())
+                    continue
+                own = batch.slice(x, y - x)
+                unit = _unit(_matrix(own.column("embedding")))
+                if each_visit:
+                    found = [tree.visits(far, visits) for far in tree.distances(unit)]
+                    of, bins = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.array([b for f in found for b in f], np.int64)
+                else:
+                    of, bins = np.arange(len(own)), tree.assign(unit)
+                at = pa.array(of.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*[own.column(c).take(at) for c in names], pa.array(int(leaf[x]) * BINS + bins)], [*names, "bin"])
+
+    schema = T.StructType([*[rows.schema[c] for c in names], T.StructField("bin", T.LongType())])
+    return dealt.mapInArrow(placed, schema)
+
+
 def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score; vectors: vec_id, embedding. is_query: a condition on vec_id."""
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -152,7 +226,18 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
 
     kind = rows.schema["embedding"].dataType.simpleString()
     members = cut(index.select("key", "embedding", "ids").mapInArrow(placed, f"key long, embedding {kind}, ids array<long>, leaf int"), "members")
-    parts = members.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    sizes = members.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > PART).collect()  # leaves of the tree: bounded with the sample
+    whole = lambda df, *more: df.select("key", "embedding", *more, (F.col("leaf").cast("long") * BINS).alias("bin"))
+    if sizes:
+        large = vectors.sparkSession.createDataFrame([(r["leaf"], r["n"]) for r in sizes], "leaf int, n long").coalesce(1)
+        trees = _subtrees(members, large, PART)
+        streams_of = large.select("leaf", F.ceil(F.col("n") / (8 * PART)).cast("int").alias("parts"))
+        small = members.join(F.broadcast(large), "leaf", "left_anti")
+        deep = _refined(members.join(F.broadcast(large.select("leaf")), "leaf", "left_semi"), trees, streams_of, False)
+        binned = cut(whole(small, "ids").unionByName(deep.select("key", "embedding", "ids", "bin")), "binned")
+    else:
+        binned = whole(members, "ids")
+    parts = binned.groupBy("bin").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     asking = rows.where(is_query)
 
     def visited(batches):
@@ -166,15 +251,21 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
 
     asked = members.join(asking.select("key").distinct(), "key", "left_semi").select("key", "embedding")
     bins = asked.repartition("key").mapInArrow(visited, f"key long, embedding {kind}, leaf int")
+    if sizes:
+        bins = cut(bins, "visits")
+        deep = _refined(bins.join(F.broadcast(large.select("leaf")), "leaf", "left_semi"), trees, streams_of, True)
+        bins = whole(bins.join(F.broadcast(large), "leaf", "left_anti")).unionByName(deep.select("key", "embedding", "bin"))
+    else:
+        bins = whole(bins)
     ids = F.expr("cast(null as array<bigint>)").alias("ids")
-    streams = bins.join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks"), "key", "embedding", ids)
-    held = members.join(parts, "leaf").select("leaf", F.pmod("key", "parts").cast("int").alias("part"), F.lit(0).alias("asks"), "key", "embedding", "ids")
-    dealt = held.unionByName(streams).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "asks")
+    streams = bins.join(parts, "bin").select("bin", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks"), "key", "embedding", ids)
+    held = binned.join(parts, "bin").select("bin", F.pmod("key", "parts").cast("int").alias("part"), F.lit(0).alias("asks"), "key", "embedding", "ids")
+    dealt = held.unionByName(streams).repartition("bin", "part").sortWithinPartitions("bin", "part", "asks")
 
     def compared(batches):
         here, part, index_ = None, [], None
         for batch in batches:
-            leaf, piece, asks = (batch.column(c).to_numpy() for c in ("leaf", "part", "asks"))
+            leaf, piece, asks = (batch.column(c).to_numpy() for c in ("bin", "part", "asks"))
             edge = np.flatnonzero((leaf[1:] != leaf[:-1]) | (piece[1:] != piece[:-1]) | (asks[1:] != asks[:-1])) + 1
             for x, y in zip([0, *edge], [*edge, batch.num_rows], strict=True):
                 if x == y:

@@ -345,6 +345,28 @@ def test_nearest(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.query(few).collect()] == [(0, 1, 7)]
 
 
+def test_large_leaves_get_subtrees(spark, monkeypatch):
+    """Leaves of over PART vectors, so that most bins are a subtree's: the same answers as by brute force, in at least 0.9 of places."""
+    monkeypatch.setattr(ann, "PART", 64)
+    monkeypatch.setattr(ann, "SAMPLE", 300)
+    monkeypatch.setattr(ann, "SUB_SAMPLE", 200)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 10))
+    v = np.concatenate([centres[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 10)), rng.normal(size=(500, 10))]).astype(np.float32)
+    out = ann.query(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")).collect()
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hits = 0
+    asked = range(0, len(v), 50)
+    for q in asked:
+        s = u @ u[q]
+        s[q] = -2
+        mine = {r.vec_id: r.score for r in out if r.query_id == q}
+        assert len(mine) == 5 and all(abs(x - s[i]) < 1e-9 for i, x in mine.items())
+        hits += len(set(np.argsort(-s)[:5].tolist()) & set(mine))
+    assert hits / (5 * len(asked)) >= 0.9
+
+
 def test_mix(spark):
     rng = random.Random(7)
     rows = [(d, " ".join(words(rng, rng.randrange(0, 60))), "en", rng.choice(["a", "a", "a", "B", "é", None]), 0) for d in range(200)]
