@@ -91,3 +91,27 @@ def _next(ring: Column, i: Column, n: Column) -> Column:
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
     six = F.nullif(ring_area(ring) * 6, F.lit(0.0))
     return _cross_sum(ring, lambda p, q: p["x"] + q["x"]) / six, _cross_sum(ring, lambda p, q: p["y"] + q["y"]) / six
+
+
+def polygon_centroid(rings: Column) -> tuple[Column, Column]:
+    """Area centroid of a polygon: an exterior ring and holes, closed or open, wound either way."""
+
+    def weighted(part):
+        own = lambda ring: F.abs(ring_area(ring))
+        return F.aggregate(F.transform(rings, lambda r, i: F.when(i == 0, own(r) * part(r)).otherwise(-own(r) * part(r))), F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0)))
+
+    whole = F.nullif(weighted(lambda r: F.lit(1.0)), F.lit(0.0))
+    return weighted(lambda r: ring_centroid(r)[0]) / whole, weighted(lambda r: ring_centroid(r)[1]) / whole
+
+
+def centre(transform: Column, width: Column, height: Column) -> tuple[Column, Column]:
+    """An image's centre in world units."""
+    x, y = width / 2, height / 2
+    return transform["a"] * x + transform["b"] * y + transform["c"], transform["d"] * x + transform["e"] * y + transform["f"]
+
+
+def sound_ring(ring: Column) -> Column:
+    """Whether a ring can be a polygon's: three different points or more, an area, no point that is not a number."""
+    n = F.size(F.array_distinct(ring))
+    numbers = F.forall(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]))
+    return F.coalesce((n >= 3) & numbers & (F.abs(ring_area(ring)) > 0), F.lit(False))

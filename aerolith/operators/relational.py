@@ -45,6 +45,40 @@ def size_stats(refs: DataFrame, chips: DataFrame, by: list[str], small_m: float
     """References, chips without any, quartiles of the equivalent side (root of the area), share of small ones."""
     side = F.when(F.col("area") > 0, F.sqrt("area"))
     rows = chips.select("chip_id", *by).join(refs.select("chip_id", "area").withColumn("side", side), "chip_id", "left")
-    ends = F.percentile("side", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy(*by).agg(F.count("area").alias("buildings"), F.count_if(F.col("area").isNull()).alias("empty_chips"), ends.alias("q"), F.avg((F.col("side") < small_m).cast("double")).alias("share_small"))
+    # equal sides are counted before they meet in one task
+    rows = rows.groupBy(*by, "side").agg(F.count("area").alias("areas"), F.count("*").alias("n"))
+    ends = F.percentile("side", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
+    sided, small = F.sum(F.when(F.col("side").isNotNull(), F.col("n"))), F.sum(F.when(F.col("side") < small_m, F.col("n")).when(F.col("side").isNotNull(), 0))
+    out = rows.groupBy(*by).agg(F.sum("areas").alias("buildings"), F.sum(F.col("n") - F.col("areas")).alias("empty_chips"), ends.alias("q"), (small / sided).alias("share_small"))
     return out.select(*by, "buildings", "empty_chips", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "median", "p75"))], "share_small")
+
+
+def all_keys(key: list[str], *tables: DataFrame) -> DataFrame:
+    """The keys that occur in any of some tables, each once."""
+    out = tables[0].select(*key)
+    for t in tables[1:]:
+        out = out.unionByName(t.select(*key))
+    return out.distinct()
+
+
+def common_keys(key: list[str], *tables: DataFrame) -> DataFrame:
+    """The keys that occur in all of some tables, each once."""
+    out = tables[0].select(*key).distinct()
+    for t in tables[1:]:
+        out = out.intersect(t.select(*key))
+    return out
+
+
+def scene_search(items: DataFrame, bounds: tuple[float, float, float, float], first: str, last: str, cloud: float, limit: int = 60) -> DataFrame:
+    """Of a catalogue's items those that meet bounds and a span of days, with less cloud than `cloud`: the `limit` least cloudy.
+
+    items: id, x0, y0, x1, y1, day (text, ISO), cloud. Equally cloudy ones come by id.
+    """
+    x0, y0, x1, y1 = map(float, bounds)
+    meet = (F.col("x0") <= x1) & (F.col("x1") >= x0) & (F.col("y0") <= y1) & (F.col("y1") >= y0)
+    return items.where(meet & F.col("day").between(first, last) & (F.col("cloud") < cloud)).orderBy("cloud", "id").limit(limit)
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """A small table that several steps read, computed once: checkpointed where the session has a folder for that, else kept in memory or on disk."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()

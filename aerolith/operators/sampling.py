@@ -18,33 +18,43 @@ def block_split(chips: DataFrame, share: float, seed: int) -> DataFrame:
     """chips with split: whole blocks of each city go to dev or test; of several blocks at least one to either."""
     blocks = chips.select("city", "block").distinct()
     place = F.row_number().over(Window.partitionBy("city").orderBy(_order(seed, "city", "block"), "block"))
+    return chips.join(_dealt(blocks.withColumn("place", place), share).select("city", "block", "split"), ["city", "block"])
+
+
+def _dealt(blocks: DataFrame, share: float) -> DataFrame:
+    """Blocks with split: a city's first by place are dev."""
     n = F.count("*").over(Window.partitionBy("city"))
-    blocks = blocks.withColumn("n", n).withColumn("place", place)
     dev = F.bround(F.col("n") * share).cast("long")
     dev = F.when(F.col("n") > 1, F.least(F.greatest(dev, F.lit(1)), F.col("n") - 1)).otherwise(dev)
-    return chips.join(blocks.select("city", "block", F.when(F.col("place") <= dev, "dev").otherwise("test").alias("split")), ["city", "block"])
+    return blocks.withColumn("n", n).withColumn("split", F.when(F.col("place") <= dev, "dev").otherwise("test"))
 
 
 def block_split_numpy(chips: DataFrame, share: float, seed: int) -> DataFrame:
-    """The same by numpy's generator; blocks (some hundred) are collected, chips are not."""
-    by_city: dict[str, list[str]] = {}
-    for r in chips.select("city", "block").distinct().orderBy("city", "block").collect():
-        by_city.setdefault(r.city, []).append(r.block)
-    rows = []
-    for city, blocks in by_city.items():
-        n = len(blocks)
-        n_dev = int(round(share * n))
-        n_dev = min(max(n_dev, 1), n - 1) if n > 1 else n_dev
-        order = np.random.default_rng(seed + zlib.crc32(city.encode())).permutation(n)
-        rows += [(city, blocks[i], "dev" if j < n_dev else "test") for j, i in enumerate(order)]
-    table = chips.sparkSession.createDataFrame(rows, "city string, block string, split string")
-    return chips.join(table, ["city", "block"])
+    """The same, in an order drawn by numpy's generator; of a city only the number of blocks is collected.
+
+    Fixed value, so that draws equal the published ones: a city's generator is seeded by seed + crc32(city).
+    """
+    numbered = chips.select("city", "block").distinct().withColumn("at", F.row_number().over(Window.partitionBy("city").orderBy("block")) - 1)
+    sizes = {r.city: r["count"] for r in numbered.groupBy("city").count().collect()}
+    places = [(city, int(at), place + 1) for city, n in sizes.items() for place, at in enumerate(np.random.default_rng(seed + zlib.crc32(city.encode())).permutation(n))]
+    drawn = numbered.join(chips.sparkSession.createDataFrame(places, "city string, at int, place int"), ["city", "at"])
+    return chips.join(_dealt(drawn, share).select("city", "block", "split"), ["city", "block"])
 
 
 def subsample(chips: DataFrame, n: int, seed: int) -> DataFrame:
     return chips.orderBy(_order(seed, "chip_id"), "chip_id").limit(n)
 
 
+def chip_sample(chips: DataFrame, n: int, seed: int, keys: list[str], exact: bool = False) -> DataFrame:
+    """n chips of each key in the order of a hash, all of a key that has fewer (with exact: an error then)."""
+    by = Window.partitionBy(*keys)
+    rows = chips.withColumn("__at", F.row_number().over(by.orderBy(_order(seed, "chip_id"), "chip_id"))).withColumn("__n", F.count("*").over(by))
+    if exact:
+        short = F.raise_error(F.concat_ws(" ", F.lit("too few chips:"), *[F.col(k).cast("string") for k in keys])).cast("boolean")
+        rows = rows.where(F.when(F.col("__n") >= n, True).otherwise(short))
+    return rows.where(F.col("__at") <= n).drop("__at", "__n")
+
+
 def terciles(rows: DataFrame, value: str) -> DataFrame:
     """rows with size_group by the value's thirds; cuts belong to the smaller group."""
     cuts = rows.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("__cuts"))
@@ -53,8 +63,15 @@ def terciles(rows: DataFrame, value: str) -> DataFrame:
     return at.withColumn("size_group", group).drop("__cuts")
 
 
-def brightness_scale(pixels: DataFrame, keys: list[str], value: str, q: float = 0.995, step: float = 50.0) -> DataFrame:
-    rows = pixels.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias("p"))
+def brightness_scale(pixels: DataFrame, keys: list[str], value: str, q: float = 0.995, step: float = 50.0, every: int = 1, at: str | None = None) -> DataFrame:
+    """keys, scale: a high quantile, rounded to steps; of every `every`-th pixel by its number `at`, if that is asked for.
+
+    Values are counted first, so that a task holds a key's distinct values and not its pixels.
+    """
+    if at is not None:
+        pixels = pixels.where(F.col(at) % every == 0)
+    counted = pixels.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    rows = counted.groupBy(*keys).agg(F.percentile(value, F.lit(q), F.col("__n")).alias("p"))
     return rows.select(*keys, (F.bround(F.col("p") / step) * step).alias("scale"))
 
 

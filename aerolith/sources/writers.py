@@ -39,7 +39,7 @@ def frozen_yaml(frozen: DataFrame, path: str) -> None:
     """Chosen settings (some ten rows) as YAML on the driver."""
     import yaml
 
-    rows = frozen.limit(1000).collect()
+    rows = _few(frozen)
     tree = {
         "fixed": next((r.config for r in rows if r.kind == "fixed"), None),
         "runner_up": [r.config for r in sorted((r for r in rows if r.kind == "runner_up"), key=lambda r: r.place)],
@@ -49,8 +49,27 @@ def frozen_yaml(frozen: DataFrame, path: str) -> None:
         yaml.safe_dump(tree, file, sort_keys=False)
 
 
-def markdown(df: DataFrame, digits: int = 1) -> str:
-    """A report's table; undefined is a dash."""
-    show = lambda v: "-" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
-    rows = df.limit(1000).collect()
-    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *["| " + " | ".join(show(v) for v in r) + " |" for r in rows]])
+def _few(df: DataFrame, most: int = 10_000) -> list:
+    """The rows of a report; more than `most` are an error, as a report is no place for them."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return rows
+
+
+def markdown(df: DataFrame, digits: int = 1, titles: dict[str, str] | None = None) -> str:
+    """A report's table; undefined is a dash, an interval of two numbers is [lo, hi]."""
+
+    def show(v) -> str:
+        if isinstance(v, (list, tuple)):
+            return "[" + ", ".join(show(x) for x in v) + "]"
+        return "-" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
+
+    lines = [[(titles or {}).get(c, c) for c in df.columns], ["---"] * len(df.columns), *[[show(v) for v in r] for r in _few(df)]]
+    return "\n".join("| " + " | ".join(cells) + " |" for cells in lines)
+
+
+def report(sections: list[tuple[str, DataFrame]], path: str, title: str = "Results") -> None:
+    """A Markdown file of titled tables, on the driver."""
+    with open(path, "w") as file:
+        file.write(f"# {title}\n" + "".join(f"\n## {name}\n\n{markdown(df)}\n" for name, df in sections))
