@@ -33,9 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _held(spark: SparkSession) -> dict[str, tuple]:
-    """The tables that this session's context has written and not removed: path -> file system and path in the JVM.
+    """The tables that this session's context has written and not removed: path -> file system and path in the JVM, and a weak
+    reference to what every plan that reads the table holds (None: not read as a table).
 
-    They go when the context stops; the file system removes what is left when the JVM ends.
+    They go when no plan reads them any more (see swept), at the latest when the context stops; the file system removes what is
+    left when the JVM ends.
     """
     sc = spark.sparkContext
     if "_aerolith_tables" not in sc.__dict__:
@@ -52,19 +54,30 @@ def _held(spark: SparkSession) -> dict[str, tuple]:
 
 
 def _delete(tables: dict[str, tuple], path: str) -> None:
-    system, where = tables.pop(path)
+    system, where, _ = tables.pop(path)
     system.delete(where, True)
     system.cancelDeleteOnExit(where)
 
 
-def hold(spark: SparkSession, path: str) -> None:
-    """Has a folder that is written now removed with the session."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def hold(spark: SparkSession, path: str, table: DataFrame | None = None) -> None:
+    """Has a folder that is written now removed with the session, or once nothing reads the table that it is."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    _held(spark)[path] = system, where
+    read = None
+    if table is not None:
+        read = jvm.java.lang.ref.WeakReference(table._jdf.queryExecution().analyzed().collectLeaves().head().relation().location())
+    _held(spark)[path] = system, where, read
     system.deleteOnExit(where)
 
 
+def swept(spark: SparkSession) -> None:
+    """Removes the tables of earlier results that are gone: no plan in the JVM holds their files any more."""
+    tables = _held(spark)
+    for path in [p for p, (_, _, read) in tables.items() if read is not None and read.get() is None]:
+        _delete(tables, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a held folder now."""
     if path in (tables := _held(spark)):
@@ -82,18 +95,22 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """df written as a table in the shared folder and read back: whoever reads it needs nothing that came before.
 
     The shuffle files of the job that wrote it are removed when it ends, so that a query of several such steps holds the
-    files of one step at a time. The table stays until drop(), settled() or the session's end removes it.
+    files of one step at a time. The table stays until drop() or settled() removes it, or nothing reads it any more.
     """
     spark = df.sparkSession
+    swept(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
+    except BaseException:
+        hold(spark, path)
+        raise
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-        hold(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
+    hold(spark, path, out)
     out.cut_path = path
     return out
 
