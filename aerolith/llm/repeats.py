@@ -120,7 +120,9 @@ def contexts(docs: DataFrame, owners: DataFrame, unit: Unit) -> DataFrame:
         for batch in _once(batches):
             yield from _contexts(batch, unit)
 
-    return texts.join(wanted, ["doc_id", "v"]).mapInArrow(cut_out, CONTEXT).repartition("h", "salt").sortWithinPartitions("h", "salt")
+    out = texts.join(wanted, ["doc_id", "v"]).mapInArrow(cut_out, CONTEXT).repartition("h", "salt").sortWithinPartitions("h", "salt")
+    out.reads = wanted
+    return out
 
 
 def find(docs: DataFrame, owners: DataFrame, unit: Unit, solve: Callable) -> DataFrame:
@@ -130,7 +132,9 @@ def find(docs: DataFrame, owners: DataFrame, unit: Unit, solve: Callable) -> Dat
         for part in shards(batches, unit.indexed):
             yield from solve(part, unit)
 
-    found = cut(contexts(docs, owners, unit).mapInArrow(solved, FOUND), "found")
+    rows = contexts(docs, owners, unit)
+    found = cut(rows.mapInArrow(solved, FOUND), "found")
+    drop(rows.reads)
     # windows of hot anchors, each the first of its part: all but the first of all go
     split = found.where("kind = 1").select("f1", "f2", "doc_id", "start", "end")
     place = F.struct("doc_id", *(["start"] if unit.within else []))
