@@ -13,8 +13,9 @@ it. The last document of a source's last pass is cut where the target is met.
 
 Prefix sums go by buckets of the MD5 within each source (4096, and 16 times as many for each 16 times LARGE rows), so a
 source with most of the rows is no single task.
-A null text has size 0. Rows that repeat a doc_id are documents of their own. Sources without words have target 0. Null ids go by
-the MD5 of the empty string. Columns pass through.
+A null text has size 0. Rows that repeat a doc_id are documents of their own, in the order of their texts' hashes; equal rows are
+alike, so it is no matter which is cut. Sources without words have target 0. Null ids go by the MD5 of the empty string. Columns
+pass through.
 """
 
 from __future__ import annotations
@@ -93,19 +94,20 @@ def plan(docs: DataFrame) -> DataFrame:
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     source = F.col("source").cast("string")
     digits = BUCKET + max(0, math.ceil(math.log(max(docs.count(), 1) / LARGE, 16)))  # a count of Parquet rows reads no data
-    rows = docs.select("*", size.alias("__size"), key.alias("__key"), F.substring(key, 1, digits).alias("__bucket"), source.isNull().alias("__none"), F.coalesce(source, F.lit("")).alias("__source"))
+    rows = docs.select("*", size.alias("__size"), key.alias("__key"), F.substring(key, 1, digits).alias("__bucket"), F.xxhash64(F.col("text").cast("string")).alias("__hash"), source.isNull().alias("__none"), F.coalesce(source, F.lit("")).alias("__source"))
     buckets = cut(rows.groupBy(*SOURCE, "__bucket").agg(F.sum("__size").alias("words")), "buckets")
     goals = targets(buckets.groupBy(*SOURCE).agg(F.sum("words").alias("source_size")))
     earlier = Window.partitionBy(*SOURCE).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0))).join(goals, SOURCE).drop("words")
-    own = Window.partitionBy(*SOURCE, "__bucket").orderBy("__key", "__size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    # the text decides among rows of one id (null ids among them), so that reruns agree
+    own = Window.partitionBy(*SOURCE, "__bucket").orderBy("__key", "__size", "doc_id", "__hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(offsets, [*SOURCE, "__bucket"]).withColumn("__before", F.col("offset") + F.coalesce(F.sum("__size").over(own), F.lit(0)))
     wanted = F.floor(F.col("target") + 0.5)
     least = F.greatest("source_size", F.lit(1))
     passes = F.floor(wanted / least)
     more = wanted - passes * F.col("source_size")
     taken = passes * F.col("__size") + F.greatest(F.lit(0), F.least(more - F.col("__before"), F.col("__size")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), taken.cast("long").alias("__taken"), F.col("weight").alias("__weight"), "__before", "__source")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), taken.cast("long").alias("__taken"), F.col("weight").alias("__weight"), "__before", "__source", "__hash")
 
 
 def first_position(schedules: dict | None = None) -> Column:
@@ -128,7 +130,7 @@ def mix(docs: DataFrame, schedules: dict | None = None) -> DataFrame:
     rows = rows.select("*", copies)
     words = F.least("__size", F.col("__taken") - F.col("__copy") * F.col("__size"))
     rows = rows.withColumn("__words", words).withColumn("__position", position(F.col("__copy") * F.col("__source_size") + F.col("__before"), schedules))
-    return back(rows.orderBy("__position", "doc_id", "__copy"), docs.columns, "__size", "__words", "__position")
+    return back(rows.orderBy("__position", "doc_id", "__hash", "__copy"), docs.columns, "__size", "__words", "__position")
 
 
 def stage(docs: DataFrame, schedules: dict | None = None) -> DataFrame:
