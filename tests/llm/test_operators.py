@@ -565,6 +565,36 @@ def test_awkward_tables(spark, name):
         assert len(out) == len(rows)
 
 
+def test_awkward_values(spark):
+    """The same rows (repeated, without an id, null, empty) against what the operators' docstrings say."""
+    text = "some words that are long enough to be told apart " * 30
+    rows = [(1, text), (1, text), (None, text), (None, None), (2, ""), (2, "other " + text), (3, "é")]
+    docs = frame(spark, rows)
+    last = 2**63 - 1
+    got = lambda df, *cols: sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
+    plain = brute.suffix_dedup([(1, text), (2, "other " + text), (3, "é"), (last, text)])
+    want = [(d, *plain[last if d is None else d][:3]) if t else (d, 0, 0, 0) for d, t in rows]
+    assert got(suffix_dedup.query(docs), "doc_id", "n_bytes", "n_removed", "n_spans") == sorted(want, key=str)
+    want = [(1, 300, 0), (1, 300, 0), (None, 300, 300), (None, 0, 0), (2, 0, 0), (2, 301, 300), (3, 1, 0)]
+    assert got(fm_dedup.query(docs), "doc_id", "n_words", "n_removed") == sorted(want, key=str)
+    want = [(1, 10, 1, True), (1, 10, 1, True), (None, 10, 1, False), (None, 0, None, True), (2, 0, 2, True), (2, 11, 1, False), (3, 1, 3, True)]
+    assert got(minhash.query(docs), "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=str)
+    assert got(fertility.query(docs), "doc_id", "n_words", "base_failed", "kept") == sorted([(d, len((t or "").split()), True, False) for d, t in rows], key=str)
+    assert got(lang_id.query(docs), "doc_id", "lang_pred") == sorted([(d, "en" if t else "und") for d, t in rows], key=str)
+    sizes = got(mixing.query(docs), "doc_id", "size")
+    assert sizes == sorted([(d, len((t or "").split())) for d, t in rows], key=str)
+    tokens = packing.query(docs).collect()
+    assert len(tokens) == 7 and sum(r.length for r in tokens) == sum(r.doc_tokens for r in tokens) and min(r.doc_tokens for r in tokens) == 1
+
+
+def test_mix_agrees_on_reruns_without_ids(spark):
+    rng = random.Random(22)
+    rows = [(None, " ".join(words(rng, 10)), "en", "ab"[i % 2] if i % 5 else "c", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    runs = [sorted((r.text, r.source) for r in mixing.stage(x).collect()) for x in (docs, docs.repartition(5), docs.orderBy("text"))]
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_awkward_pages_and_vectors(spark):
     pages = "page_id long, url string, html string, key string, first string, host string"
     assert warc.query(spark.createDataFrame([], pages)).collect() == []
@@ -574,8 +604,16 @@ def test_awkward_pages_and_vectors(spark):
     for data in ([], rows):
         table = spark.createDataFrame(data, pages)
         assert url_filter.judged(table, none, url_filter.rule_table(table)).count() == len(data)
+    # a page that several rows and labels have: each row is judged, each label counts
+    outcomes = spark.createDataFrame([(1, True), (1, True), (1, None), (None, True)], "page_id long, bad boolean")
+    twice = spark.createDataFrame([(1, "http://h.a/x", None, "?", "?", "?")] * 2 + [(None, "http://h.a/y", None, "?", "?", "?")], pages)
+    assert [tuple(r)[:3] for r in url_filter.judged(twice, outcomes, url_filter.rule_table(twice)).orderBy("path").collect()] == [(1, "h.a", "/x"), (1, "h.a", "/x"), (None, "h.a", "/y")]
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.query(empty).collect() == []
+    clash = "vec_id long, embedding array<float>, key string, leaf string, bin string, ids string, asks string, rank string, score string"
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)], *["?"] * 7) for i in range(0, 200, 10)]
+    wide, bare = spark.createDataFrame(rows, clash), spark.createDataFrame([r[:2] for r in rows], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, ann.query(wide).collect())) == sorted(map(tuple, ann.query(bare).collect())) and ann.query(wide).count() == 20
 
 
 def test_tables_go_with_their_session(spark, rows):
@@ -586,11 +624,33 @@ def test_tables_go_with_their_session(spark, rows):
     made = common.settled(spark, lambda: minhash.stage(frame(spark, rows[:30])), "kept")
     assert set(os.listdir(shared)) - before == {made.cut_path.rsplit("/", 1)[-1]}
     common.drop(made)
-    assert set(os.listdir(shared)) == before
+    assert set(os.listdir(shared)) <= before
     warc.query(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")).count()
     assert not [x for x in set(os.listdir(shared)) - before if x.startswith("warc")]
 
 
+def test_tables_go_with_their_results(spark, rows):
+    import gc
+    import os
+    import time
+
+    shared = common.shared_dir(spark)
+    kept = minhash.query(frame(spark, rows[:20])).where("kept")
+    gone = {r for r in os.listdir(shared)}
+    count = kept.count()
+    suffix_dedup.query(frame(spark, rows[:20])).count()
+    for _ in range(20):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+        common.swept(spark)
+        if not [x for x in set(os.listdir(shared)) - gone if x.startswith(("found", "owned"))]:
+            break
+    else:
+        raise AssertionError("tables of a result that is gone are still there")
+    assert kept.count() == count  # a result that is held keeps its tables
+
+
 def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
     class Other:
         master = "spark://host:7077"

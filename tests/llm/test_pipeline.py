@@ -36,3 +36,15 @@ def test_pipeline(spark, tmp_path):
     whole = sum(len(brute.WORD.findall(t)) for t in kept.values())
     assert abs(mixed - whole) <= 2
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packed"].count()
+
+
+def test_awkward_tables_through_the_pipeline(spark, tmp_path):
+    schema = DOCS + ", row string, score string, position string"
+    text = "the words of the other thing are there to be thought of by the others " * 20
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (None, text, None, None, None), (None, None, None, None, None), (2, "", "en", "", 0), (3, "Ein ganz anderer Text, der nicht englisch ist, sondern deutsch und kurz", "de", "b", 1)]
+    for name, data in (("none", []), ("few", rows)):
+        spark.createDataFrame([(*r, "?", "?", "?") for r in data], schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+    out = corpus_pipeline.run(spark, str(tmp_path / "few")).collect()
+    assert {r.doc_id for r in out} <= {1, 3} and 1 in {r.doc_id for r in out}
+    assert [r.sequence_id for r in sorted(out, key=lambda r: r.position)] == sorted(r.sequence_id for r in out)
