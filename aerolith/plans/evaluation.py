@@ -82,34 +82,59 @@ def q_curve_rows(v):
     return rows.select("detector", "method", "level", *Q.r9("f1", "precision", "recall"), *six, "above_chance", "break_peak_found", "break_finest_found", "peak_level", "peak_above_level", "above_chance_peak", "above_chance_finest")
 
 
-_group = "chip_id, level_id, detector, rep"
+#: Settings of some levels, as a frozen file has them.
+PER_LEVEL = {"0.3": "pair|t0.2|max30|min0", 1.2: "first|t0.1|max20|min0", "10.0": "all|t0.5|max30|min0"}
+_chosen = ", chosen(level, config) as (values " + ", ".join(f"({float(k)}::double, '{c}')" for k, c in PER_LEVEL.items()) + """),
+perlevel as (select c.*, config from clipped c join chosen using (level)
+where case config when 'pair|t0.2|max30|min0' then greatest(s0, s1) >= 0.2::double and x1 - x0 <= 30 and y1 - y0 <= 30 when 'first|t0.1|max20|min0' then s0 >= 0.1::double and x1 - x0 <= 20 and y1 - y0 <= 20 else greatest(s0, s1, s2) >= 0.5::double and x1 - x0 <= 30 and y1 - y0 <= 30 end) """
 
 
-@query(Q._oracle_sql(_group, Q.ORACLE_REPS) + ", oe as materialized " + edged("oracleboxes", "k.chip_id, k.level_id, k.detector, k.rep", 0.25) + ", " + matched("om", "oe", ["chip_id", "level_id", "detector", "rep"])
-+ ", ke as materialized " + edged("kept", "k.chip_id, k.level_id, k.detector", 0.25) + ", " + matched("km", "ke", ["chip_id", "level_id", "detector"])
-+ f""", oraclecounts as (select c.block, d.detector, l.level, coalesce(m.n, 0) as matches, coalesce(p.n, 0) as predictions, coalesce(r.n, 0) as "references", coalesce(o.n, 0) as oracle_matches
-  from chips c cross join levels l cross join (select distinct detector from cands) d left join km m on m.chip_id = c.chip_id and m.level_id = l.level_id and m.detector = d.detector
-  left join (select chip_id, level_id, detector, count(*) as n from kept group by all) p on p.chip_id = c.chip_id and p.level_id = l.level_id and p.detector = d.detector
-  left join (select chip_id, level_id, detector, sum(n) / {float(Q.ORACLE_REPS)}::double as n from om group by all) o on o.chip_id = c.chip_id and o.level_id = l.level_id and o.detector = d.detector
+def per_level(v: Views) -> DataFrame:
+    """Boxes by the setting that was chosen for their level, with that setting."""
+    chosen = tuning.with_level_setting(v.cands.select("level").distinct(), tuning.level_settings(v.spark, PER_LEVEL))
+    configs = selection.grid(v.spark, Q.PROMPTS, Q.THRESHOLDS, Q.SIZES, Q.AREAS).join(F.broadcast(chosen.select("config")), "config")
+    return selection.select_boxes(v.cands, configs, EXTENT).join(F.broadcast(chosen), ["level", "config"])  # some ten levels
+
+
+@query(_chosen + " select chip_id, level_id, cand_id, config from perlevel")
+def q_per_level_settings(v):
+    """Boxes by settings from a map whose keys are numbers or text."""
+    return per_level(v).select("chip_id", "level_id", "cand_id", "config")
+
+
+_kind = ["chip_id", "level_id", "detector", "kind"]
+
+
+@query(_chosen + """, kinds as (select chip_id, level_id, level, detector, cand_id, x0, y0, x1, y1, 'fixed' as kind from kept union all select chip_id, level_id, level, detector, cand_id, x0, y0, x1, y1, 'per_level' from perlevel),
+kindlevels as (select 'fixed' as kind, level_id, level from levels union all select 'per_level', level_id, level from levels join chosen using (level)) """
++ Q._oracle_sql(", ".join([*_kind, "rep"]), Q.ORACLE_REPS, "kinds") + ", oe as materialized " + edged("oracleboxes", ", ".join(f"k.{c}" for c in [*_kind, "rep"]), 0.25) + ", " + matched("om", "oe", [*_kind, "rep"])
++ ", ke as materialized " + edged("kinds", ", ".join(f"k.{c}" for c in _kind), 0.25) + ", " + matched("km", "ke", _kind)
++ f""", oraclecounts as (select c.block, d.detector, l.kind, l.level, coalesce(m.n, 0) as matches, coalesce(p.n, 0) as predictions, coalesce(r.n, 0) as "references", coalesce(o.n, 0) as oracle_matches
+  from chips c cross join kindlevels l cross join (select distinct detector from cands) d left join km m on m.chip_id = c.chip_id and m.level_id = l.level_id and m.detector = d.detector and m.kind = l.kind
+  left join (select chip_id, level_id, detector, kind, count(*) as n from kinds group by all) p on p.chip_id = c.chip_id and p.level_id = l.level_id and p.detector = d.detector and p.kind = l.kind
+  left join (select chip_id, level_id, detector, kind, sum(n) / {float(Q.ORACLE_REPS)}::double as n from om group by all) o on o.chip_id = c.chip_id and o.level_id = l.level_id and o.detector = d.detector and o.kind = l.kind
   left join (select chip_id, count(*) as n from refs group by 1) r on r.chip_id = c.chip_id),
-sums as (select block, detector, level, sum(matches) as matches, sum(predictions) as predictions, sum("references") as refs, sum(oracle_matches) as oracle_matches from oraclecounts group by all),
+sums as (select block, detector, kind, level, sum(matches) as matches, sum(predictions) as predictions, sum("references") as refs, sum(oracle_matches) as oracle_matches from oraclecounts group by all),
 blocks as (select block, row_number() over (order by block) - 1 as place, count(*) over () as n from (select distinct block from chips) t),
 drawn as (select boot_id, (cast('0x' || substr(md5(boot_id::varchar || '|' || place::varchar), 1, 8) as bigint) % n) as pick, count(*) as times from blocks, range({Q.N_BOOT}) t(boot_id) group by 1, 2),
-reps as (select boot_id, detector, level, 200.0 * sum(times * matches)::double / nullif(sum(times * (predictions + refs)), 0) - 200.0 * sum(times * oracle_matches)::double / nullif(sum(times * (predictions + refs)), 0) as diff from drawn join blocks on pick = place join sums using (block) group by 1, 2, 3),
-pt as (select detector, level, 200.0 * sum(matches)::double / nullif(sum(predictions + refs), 0) as f1, 200.0 * sum(oracle_matches)::double / nullif(sum(predictions + refs), 0) as oracle_f1 from sums group by all)
-select detector, level, {_six('f1', 'oracle_f1')}, round(f1 - oracle_f1, 6) as diff, round(lo, 6) as lo, round(hi, 6) as hi from pt join (select detector, level, quantile_cont(diff, 0.025) as lo, quantile_cont(diff, 0.975) as hi from reps group by all) q using (detector, level)""")
+reps as (select boot_id, detector, kind, level, 200.0 * sum(times * matches)::double / nullif(sum(times * (predictions + refs)), 0) - 200.0 * sum(times * oracle_matches)::double / nullif(sum(times * (predictions + refs)), 0) as diff from drawn join blocks on pick = place join sums using (block) group by 1, 2, 3, 4),
+pt as (select detector, kind, level, 200.0 * sum(matches)::double / nullif(sum(predictions + refs), 0) as f1, 200.0 * sum(oracle_matches)::double / nullif(sum(predictions + refs), 0) as oracle_f1 from sums group by all)
+select detector, kind, level, {_six('f1', 'oracle_f1')}, round(f1 - oracle_f1, 6) as diff, round(lo, 6) as lo, round(hi, 6) as hi from pt join (select detector, kind, level, quantile_cont(diff, 0.025) as lo, quantile_cont(diff, 0.975) as hi from reps group by all) q using (detector, kind, level)""")
 def q_oracle_diff(v):
-    """F1 of each detector less that of its boxes put on references, with an interval."""
-    run, kept = ["chip_id", "level_id", "detector"], Q.kept(v)
-    boxes = kept.select(*run, "cand_id", "x0", "y0", "x1", "y1")
-    found = matching.matched_pairs(matching.edges(boxes, v.refs), run, 0.25)
-    spine = Q.spine(v).crossJoin(F.broadcast(v.cands.select("detector").distinct()))  # detectors
-    counts = matching.counts(spine, boxes, v.refs, found, run)
-    moved = selection.clip(baseline.relocate_to_refs(baseline.repeated(boxes, Q.ORACLE_REPS), v.refs, [*run, "rep"], ["cand_id"]), EXTENT)
-    onto = matching.matched_pairs(matching.edges(moved.select(*run, "rep", "cand_id", "x0", "y0", "x1", "y1"), v.refs), [*run, "rep"], 0.25)
-    rows = baseline.chance_matches(onto, counts, run, Q.ORACLE_REPS).withColumnRenamed("chance_matches", "oracle_matches")
-    out = evaluation.oracle_difference(rows, bootstrap.draws(v.chips, Q.N_BOOT), ["detector", "level"])
-    return out.select("detector", "level", *[F.round(c, 6).alias(c) for c in ("f1", "oracle_f1", "diff", "lo", "hi")])
+    """F1 of each detector less that of its boxes put on references, with an interval, by one setting for all levels and by each level's own."""
+    names = ["chip_id", "level_id", "detector", "cand_id", "x0", "y0", "x1", "y1"]
+    fixed, own = Q.kept(v).select(*names, F.lit("fixed").alias("kind")), per_level(v).select(*names, F.lit("per_level").alias("kind"))
+    boxes = fixed.unionByName(own)
+    chosen = tuning.with_level_setting(v.cands.select("level_id", "level").distinct(), tuning.level_settings(v.spark, PER_LEVEL))
+    levels = v.cands.select("level_id", "level").distinct().withColumn("kind", F.lit("fixed")).unionByName(chosen.select("level_id", "level", F.lit("per_level").alias("kind")))
+    spine = v.chips.crossJoin(F.broadcast(levels)).crossJoin(F.broadcast(v.cands.select("detector").distinct()))  # levels, detectors
+    found = matching.matched_pairs(matching.edges(boxes, v.refs), _kind, 0.25)
+    counts = matching.counts(spine, boxes, v.refs, found, _kind)
+    moved = selection.clip(baseline.relocate_to_refs(baseline.repeated(boxes, Q.ORACLE_REPS), v.refs, [*_kind, "rep"], ["cand_id"]), EXTENT)
+    onto = matching.matched_pairs(matching.edges(moved.select(*_kind, "rep", "cand_id", "x0", "y0", "x1", "y1"), v.refs), [*_kind, "rep"], 0.25)
+    rows = baseline.chance_matches(onto, counts, _kind, Q.ORACLE_REPS).withColumnRenamed("chance_matches", "oracle_matches")
+    out = evaluation.oracle_difference(rows, bootstrap.draws(v.chips, Q.N_BOOT), ["detector", "kind", "level"])
+    return out.select("detector", "kind", "level", *[F.round(c, 6).alias(c) for c in ("f1", "oracle_f1", "diff", "lo", "hi")])
 
 
 VARIANTS = [name for name, *_ in selection.colour_variants([100, 120, 140, 160, 180], [15, 25])]

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerolith.functions import boxes
-from aerolith.operators import evaluation, matching, raster, relational, sampling, selection, tuning
+from aerolith.operators import evaluation, matching, raster, relational, sampling, selection
 from aerolith.plans import queries as Q
 from aerolith.plans.registry import query
-from aerolith.plans.views import EXTENT
 from aerolith.sources import readers
 
 _split = f"""
@@ -145,19 +144,6 @@ def q_agreement(v):
     return evaluation.agreement(Q.counts(v), theirs, Q.GROUP, ["matches"])
 
 
-_PER_LEVEL = {"0.3": "pair|t0.2|max30|min0", 1.2: "first|t0.1|max20|min0", "10.0": "all|t0.5|max30|min0"}
-
-
-@query(", chosen(level, config) as (values " + ", ".join(f"({float(k)}::double, '{c}')" for k, c in _PER_LEVEL.items()) + """) select chip_id, level_id, cand_id, config from clipped join chosen using (level)
-where case config when 'pair|t0.2|max30|min0' then greatest(s0, s1) >= 0.2::double and x1 - x0 <= 30 and y1 - y0 <= 30 when 'first|t0.1|max20|min0' then s0 >= 0.1::double and x1 - x0 <= 20 and y1 - y0 <= 20 else greatest(s0, s1, s2) >= 0.5::double and x1 - x0 <= 30 and y1 - y0 <= 30 end""")
-def q_per_level_settings(v):
-    """Boxes by the setting that was chosen for their level, from a map whose keys are numbers or text."""
-    chosen = tuning.with_level_setting(v.cands.select("level").distinct(), tuning.level_settings(v.spark, _PER_LEVEL))
-    configs = selection.grid(v.spark, Q.PROMPTS, Q.THRESHOLDS, Q.SIZES, Q.AREAS).join(F.broadcast(chosen.select("config")), "config")
-    rows = selection.select_boxes(v.cands, configs, EXTENT)
-    return rows.join(F.broadcast(chosen), ["level", "config"]).select("chip_id", "level_id", "cand_id", "config")
-
-
 @query("""--
 select c_custkey as chip_id, round(c_acctbal - 1, 6) as lo, round(c_acctbal + 1, 6) as hi from customer where c_custkey % 3 <> 0 union all select c_custkey, null, null from customer where c_custkey % 3 = 0""")
 def q_interval_cells(v):

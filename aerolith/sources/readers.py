@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -91,15 +92,15 @@ def scale_for(scale_max, city: str) -> float:
     return float(value)
 
 
-def archives(spark: SparkSession, root: str) -> DataFrame:
-    """chip_id, key, shape, numbers (as doubles) of every array in a folder of .npz files."""
+def archives(spark: SparkSession, root: str, keys: str = ".*") -> DataFrame:
+    """chip_id, key, shape, numbers (as doubles) of the arrays in a folder of .npz files whose whole name fits a pattern; others are not unpacked."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(root).select("path", "content")
 
     def read(batches):
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 with np.load(io.BytesIO(content), allow_pickle=False) as found:
-                    rows = [(k, list(found[k].shape), found[k].astype(float).ravel().tolist()) for k in found.files]
+                    rows = [(k, list(found[k].shape), found[k].astype(float).ravel().tolist()) for k in found.files if re.fullmatch(keys, k)]
                 chip = path.rsplit("/", 1)[-1].removesuffix(".npz")
                 yield pa.RecordBatch.from_arrays([pa.array([chip] * len(rows)), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["chip_id", "key", "shape", "numbers"])
 

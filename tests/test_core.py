@@ -357,8 +357,9 @@ def test_upkeep_and_files(spark, tmp_path):
     rows = readers.city_index(spark, str(tmp_path), "Paris", "*.tif", "*.geojson").collect()
     assert [r.chip_id for r in rows] == ["Paris_img10", "Paris_img2"]
     assert writers.manifest(spark, str(tmp_path), "*.tif").select("sha256").distinct().count() == 1
-    np.savez(tmp_path / "c1.npz", a=np.ones((2, 3)))
-    assert [tuple(r) for r in readers.archives(spark, str(tmp_path)).select("chip_id", "key", "shape").collect()] == [("c1", "a", [2, 3])]
+    np.savez(tmp_path / "c1.npz", a=np.ones((2, 3)), b=np.zeros(1))
+    assert [r.key for r in readers.archives(spark, str(tmp_path), "b|c").collect()] == ["b"]
+    assert [tuple(r) for r in readers.archives(spark, str(tmp_path)).select("chip_id", "key", "shape").orderBy("key").collect()] == [("c1", "a", [2, 3]), ("c1", "b", [1])]
     df = spark.createDataFrame([("d", "area", 0.3, 1, 2, 3), ("d", "area", 0.6, 1, 1, 1)], "detector string, method string, level double, matches long, predictions long, references long")
     out = str(tmp_path / "table")
     writers.save(df, out)
