@@ -54,7 +54,7 @@ def block_key(city: Column, x: Column, y: Column, cell: float = 0.01) -> Column:
 
 
 def target_size(pixels: Column, native: Column | float, target: Column) -> Column:
-    """Pixels along a side after resampling from `native` to `target` metres per pixel, halves up."""
+    """Pixels along a side after resampling from `native` to `target` metres per pixel, halves up (fixed values: a half and 1e-9, see kernels.target_pixels)."""
     return F.greatest(F.lit(1).cast("long"), F.floor(pixels * native / target + 0.5 + 1e-9))
 
 

@@ -244,6 +244,7 @@ def _blur(n: int, sigma: float) -> np.ndarray:
 
 
 def target_pixels(pixels: int, native: float, target: float) -> int:
+    """Pixels along a side after resampling, halves up; fixed values, so that sizes equal the published ones: a half and 1e-9."""
     return max(1, int(np.floor(pixels * native / target + 0.5 + 1e-9)))
 
 
