@@ -72,7 +72,10 @@ def hold(spark: SparkSession, path: str, table: DataFrame | None = None) -> None
 
 
 def swept(spark: SparkSession) -> None:
-    """Removes the tables of earlier results that are gone: no plan in the JVM holds their files any more."""
+    """Removes the tables of earlier results that are gone: no plan in the JVM holds their files any more.
+
+    A frame that is made of a result holds its tables, as a cached or running one does; an RDD made of it does not.
+    """
     tables = _held(spark)
     for path in [p for p, (_, _, read) in tables.items() if read is not None and read.get() is None]:
         _delete(tables, path)
