@@ -292,7 +292,10 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = rows.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     banded = classes.select("cls", "sketch").mapInArrow(_banded, "key long, band short, cls long")
     full = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
+    # what is joined by a band or a class is a table, so that a hot one's join can be split
+    full = cut(full, "full")
     members = cut(banded.join(full, "key"), "members")
+    drop(full)
     wanted = cut(members.select("cls").distinct().join(classes, "cls"), "wanted")
     # by id and text: an id (a null one) of many rows meets only its own text's classes
     owners = texts.join(wanted.select("cls", "at.doc_id", "at.th"), ["doc_id", "th"]).select("cls", "text")
@@ -303,12 +306,13 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # the first hub is the least class, the same in all of a group's bands; later each band has its own
         place = F.col("cls") if not turn else F.xxhash64("cls", "key", F.lit(turn))
         hubs = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(place.alias("p"), "cls", "comp")).alias("hub")).where("lo < hi")
+        hubs = cut(hubs, "hubs")
         pairs = placed.join(hubs, "key").where("comp <> hub.comp").select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
         links = cut(_links(pairs, sets), "links")
         found = links.take(1)
         if found:
             labels = components(labels, links)
-        drop(links)
+        drop(links, hubs)
         if not found:
             break
     sizes = wanted.select("cls", "n")
@@ -335,7 +339,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = rows.groupBy("cls").agg(F.min("doc_id").alias("least")).where("cls <> 0")
     comp = own.join(labels, own.cls == labels.node, "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "least")
     least = comp.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of = comp.join(least, "comp").select("cls", "component_id")
+    of = cut(comp.join(least, "comp").select("cls", "component_id"), "of")
     out = rows.join(of, "cls", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select(original_id(), F.col("n").alias("n_shingles"), original_id("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
