@@ -330,7 +330,9 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if links.take(1):
         labels = components(labels, links)
     drop(split, members, sets, *found)
-    return rows.select("doc_id", "n", "cls"), labels
+    linked = rows.select("doc_id", "n", "cls")
+    linked.reads = rows, wanted
+    return linked, labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -367,5 +369,6 @@ def stage(docs: DataFrame) -> DataFrame:
     alone = ranked.where("n = 0")
     # a null id names no document: its rows are grouped by themselves
     single = alone.groupBy("__rank.id", "__rank.th", F.when(F.col("__rank.id") == LAST_ID, F.col("__row")).alias("own")).agg(first)
-    keep = groups.select("first.__row").unionByName(single.select("first.__row"))
+    keep = cut(groups.select("first.__row").unionByName(single.select("first.__row")), "keep")
+    drop(labels, *linked.reads)
     return back(rows.join(keep, "__row"), names)
