@@ -76,15 +76,19 @@ def brightness_scale(pixels: DataFrame, keys: list[str], value: str, q: float =
 
 
 def first_scene(chips: DataFrame, scenes: DataFrame, cell: float) -> DataFrame:
-    """chip_id, status, scene: of the sound scenes that contain a chip the least cloudy (then least id); without one, 'none'.
+    """chip_id, status, scene: of the sound scenes that contain a chip the least cloudy (unknown last), then least id; without one, 'none'.
 
-    Scenes are dealt to the grid cells they touch, so that a chip meets only those of its cell.
+    Of scenes with equal bounds only the first can be chosen, and chips with equal bounds choose the same: bounds meet, each once, and
+    chips then look up theirs. Scenes' bounds are dealt to the grid cells they touch, so that a chip's meet only those of its cell.
     """
+    box = ["x0", "y0", "x1", "y1"]
+    first = F.struct(F.col("cloud").isNull().alias("unclouded"), "cloud", F.col("scene_id").isNull().alias("nameless"), "scene_id")
     cells = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    s = scenes.where("sound").select("scene_id", "cloud", *[F.col(c).alias("s" + c) for c in ("x0", "y0", "x1", "y1")], F.explode(cells("x0", "x1")).alias("i"), "y0", "y1")
-    s = s.select("*", F.explode(cells("y0", "y1")).alias("j")).drop("y0", "y1")
-    c = chips.withColumn("i", F.floor(F.col("x0") / cell)).withColumn("j", F.floor(F.col("y0") / cell))
+    s = scenes.where("sound").groupBy(*[F.col(c).alias("s" + c) for c in box]).agg(F.min(first).alias("best"))
+    s = s.withColumn("i", F.explode(cells("sx0", "sx1"))).withColumn("j", F.explode(cells("sy0", "sy1")))
+    places = chips.select(*box).distinct().withColumn("i", F.floor(F.col("x0") / cell)).withColumn("j", F.floor(F.col("y0") / cell))
     inside = (F.col("sx0") <= F.col("x0")) & (F.col("sy0") <= F.col("y0")) & (F.col("sx1") >= F.col("x1")) & (F.col("sy1") >= F.col("y1"))
-    found = c.join(s, ["i", "j"]).where(inside).groupBy("chip_id").agg(F.min(F.struct("cloud", "scene_id")).alias("best"))
-    rows = chips.select("chip_id").join(found, "chip_id", "left")
-    return rows.select("chip_id", F.when(F.col("best").isNull(), "none").otherwise("ok").alias("status"), F.col("best.scene_id").alias("scene"))
+    found = places.join(s, ["i", "j"]).where(inside).groupBy(*box).agg(F.min("best").alias("best"))
+    own = chips.join(found, box).groupBy("chip_id").agg(F.min("best").alias("best"))
+    rows = chips.select("chip_id").join(own, "chip_id", "left").select("chip_id", F.col("best.scene_id").alias("scene"))
+    return rows.select("chip_id", F.when(F.col("scene").isNull(), "none").otherwise("ok").alias("status"), "scene")

@@ -433,3 +433,35 @@ def test_command_line(spark, tmp_path):
     main(["cache", "--images", str(images), "--levels", "0.3", "--out", at["boxes"]])
     r = spark.read.parquet(at["boxes"]).collect()
     assert [(x.chip_id, x.detector, round(x.x0, 6), round(x.y1, 6)) for x in r] == [("img1", "colour-r120_c25", 0.9, 1.5)]
+
+
+def joined_rows(df) -> int:
+    """The most rows that a join of a frame's plan puts out."""
+    df.collect()
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        n = node.metrics().get("numOutputRows") if "Join" in name else None
+        children = node.children()
+        return max([n.get().value() if n is not None and n.isDefined() else 0, *[walk(children.apply(i)) for i in range(children.size())]])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_first_scene_meets_equal_bounds_once(spark):
+    chips = spark.range(800).selectExpr("id as chip_id", "1D as x0", "1D as y0", "2D as x1", "2D as y1")
+    scenes = spark.range(800).selectExpr("id as scene_id", "if(id = 0, null, double(1000 - id)) as cloud", "id <> 799 as sound", "0D as x0", "0D as y0", "3D as x1", "3D as y1")
+    out = sampling.first_scene(chips, scenes, 30.0)
+    assert joined_rows(out) <= 800
+    assert {(r.status, r.scene) for r in out.collect()} == {("ok", 798)} and out.count() == 800
+
+
+def test_first_scene_takes_unknown_cloud_last(spark):
+    chips = spark.createDataFrame([(1, 1.0, 1.0, 2.0, 2.0), (2, 50.0, 50.0, 51.0, 51.0), (3, 90.0, 90.0, 91.0, 91.0)], "chip_id long, x0 double, y0 double, x1 double, y1 double")
+    box = "x0 double, y0 double, x1 double, y1 double"
+    scenes = spark.createDataFrame([(1, None, True, 0.0, 0.0, 60.0, 60.0), (2, 5.0, True, 0.0, 0.0, 60.0, 40.0), (3, None, True, 40.0, 40.0, 60.0, 60.0)], f"scene_id long, cloud double, sound boolean, {box}")
+    assert sorted(map(tuple, sampling.first_scene(chips, scenes, 30.0).collect())) == [(1, "ok", 2), (2, "ok", 1), (3, "none", None)]
