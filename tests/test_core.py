@@ -465,3 +465,14 @@ def test_first_scene_takes_unknown_cloud_last(spark):
     box = "x0 double, y0 double, x1 double, y1 double"
     scenes = spark.createDataFrame([(1, None, True, 0.0, 0.0, 60.0, 60.0), (2, 5.0, True, 0.0, 0.0, 60.0, 40.0), (3, None, True, 40.0, 40.0, 60.0, 60.0)], f"scene_id long, cloud double, sound boolean, {box}")
     assert sorted(map(tuple, sampling.first_scene(chips, scenes, 30.0).collect())) == [(1, "ok", 2), (2, "ok", 1), (3, "none", None)]
+
+
+def test_status_hist_meets_equal_bounds_once(spark, tmp_path):
+    """Customers and events whose keys give one place and one scene: joins put out a row each, not every pair."""
+    spark.range(400).selectExpr("id * 190 + 1 as c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(400).selectExpr("id * 1260 as event_id", "double(id) as value", "'click' as event_type").write.parquet(str(tmp_path / "events.parquet"))
+    out = QUERIES["q_status_hist"](spark, str(tmp_path))
+    assert joined_rows(out) <= 400 and list(map(tuple, out.collect())) == [("none", 400)]
+    spark.range(400).selectExpr("id * 190 as c_custkey").write.mode("overwrite").parquet(str(tmp_path / "customer.parquet"))
+    out = QUERIES["q_status_hist"](spark, str(tmp_path))
+    assert joined_rows(out) <= 400 and list(map(tuple, out.collect())) == [("ok", 400)]
