@@ -476,3 +476,43 @@ def test_status_hist_meets_equal_bounds_once(spark, tmp_path):
     spark.range(400).selectExpr("id * 190 as c_custkey").write.mode("overwrite").parquet(str(tmp_path / "customer.parquet"))
     out = QUERIES["q_status_hist"](spark, str(tmp_path))
     assert joined_rows(out) <= 400 and list(map(tuple, out.collect())) == [("ok", 400)]
+
+
+def test_block_counts_sum_what_evaluate_counts(spark):
+    """By block the same as chip by chip, of chips without boxes, boxes of no chip and levels without boxes too."""
+    names = ["chip_id", "detector", "method", "level_id", "level", "cand_id", "x0", "y0", "x1", "y1", "scores"]
+    rows = [(chip, d, "area", level, float(level), i, 9.0 * i, 5.0 * chip, 9.0 * i + 10, 5.0 * chip + 10, [0.1 + 0.2 * i, 0.5]) for chip in (1, 2, 3, 9) for d in "ab" for level in (1, 2) for i in range(4) if (chip, d) != (2, "b")]
+    cands = spark.createDataFrame(rows, names)
+    chips = spark.createDataFrame([(1, "x", "p"), (2, "x", "p"), (3, "x", "q"), (4, "y", "r")], "chip_id long, city string, block string")
+    refs = spark.createDataFrame([(c, 10 * c + k, 9.0 * k + 1, 5.0 * c, 9.0 * k + 10, 5.0 * c + 9) for c in (1, 2, 4, 9) for k in range(3)], "chip_id long, ref_id long, x0 double, y0 double, x1 double, y1 double")
+    configs = spark.createDataFrame([("c", [0, 1], 0.2, 30.0, 0.0)], selection.CONFIG)
+    by = ["city", "block", "detector", "method", "config", "level_id", "level", "iou"]
+    sums = ["matches", "predictions", "references", "removed", "chance_matches"]
+    want = evaluation.evaluate(cands, refs, chips, configs, [0.25, 0.5], 60.0, 4).groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums])
+
+    def moved(kept):
+        return baseline.relocate_uniform(baseline.repeated(kept, 4), 60.0, ["chip_id", "level_id", "cand_id", "rep"])
+
+    axis = cands.select("detector", "method", "level_id", "level").distinct().withColumn("config", F.lit("c"))
+    scored = selection.scored(selection.clip(cands, 60.0), configs)
+    got = evaluation.block_counts(scored, refs, chips, axis, evaluation.RUN, [0.25, 0.5], moved, 4)
+    rounded = lambda df: sorted(tuple(r) for r in df.select(*by, *[F.round(c, 9) for c in sums]).collect())
+    assert rounded(got) == rounded(want) and got.count() == 3 * 2 * 2 * 2 and got.agg(F.sum("chance_matches")).first()[0] > 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+@pytest.mark.parametrize("name", ["q_curve_rows"])
+def test_counts_of_an_evaluation_are_made_once(spark, name):
+    """What is pooled reads sums by block: not the line items, a time for each branch."""
+    assert "lineitem.parquet" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_moved_boxes_stay_with_their_chip(spark):
+    """No exchange between the boxes' repetitions and their counts."""
+    box = "x0 double, y0 double, x1 double, y1 double"
+    kept = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 5.0, 5.0)], f"chip_id long, level_id int, cand_id long, {box}").repartition(7, "chip_id")
+    refs = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0, 5.0)], f"chip_id long, ref_id long, {box}")
+    rows = baseline.relocate_uniform(baseline.repeated(kept, 3), 5.0, ["chip_id", "cand_id", "rep"])
+    plan = matching.matched_totals(matching.edges(rows, refs.hint("shuffle_hash")), [*plans.GROUP, "rep"], ["level_id"], 0.25)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text[text.index("MapInArrow") : text.index("explode(")] and plan.first().matches == 3
