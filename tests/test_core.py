@@ -501,7 +501,7 @@ def test_block_counts_sum_what_evaluate_counts(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
-@pytest.mark.parametrize("name", ["q_curve_rows"])
+@pytest.mark.parametrize("name", ["q_evaluate", "q_curve_rows"])
 def test_counts_of_an_evaluation_are_made_once(spark, name):
     """What is pooled reads sums by block: not the line items, a time for each branch."""
     assert "lineitem.parquet" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
